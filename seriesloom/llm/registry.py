@@ -1,6 +1,14 @@
 """The queries of this subpackage and their SQL."""
 
-from seriesloom.llm import bpe
+from seriesloom.llm import bpe, chat, fingerprint, jaccard, mixing, repeats, tokens
 
-QUERIES = {"op6_byte_level_bpe": bpe.op6_byte_level_bpe}
+QUERIES = {
+    "op1_token_output": tokens.op1_token_output,
+    "op2_bucket_digest": fingerprint.op2_bucket_digest,
+    "op4_ngram_jaccard": jaccard.op4_ngram_jaccard,
+    "op5_suffix_repeats": repeats.op5_suffix_repeats,
+    "op6_byte_level_bpe": bpe.op6_byte_level_bpe,
+    "op9_source_mix": mixing.op9_source_mix,
+    "op10_chat_format": chat.op10_chat_format,
+}
 ORACLES: dict[str, str] = {}
