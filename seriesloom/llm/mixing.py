@@ -62,8 +62,9 @@ def inverted(demand: Column, pieces: Column) -> Column:
     return F.least(piece["t0"] + 2 * rest / F.greatest(piece["w0"] + root, F.lit(1e-300)), piece["t1"])
 
 
-def mix(df: DataFrame, share: Fraction = Fraction(3, 2), most: int = 2, weigh: Callable[[list], dict] = cycled, schedule: Callable[[int, int], list[tuple[float, float]]] = knots, seed: int = 17, text: str = "text", source: str = "source", block_rows: int = 20_000) -> DataFrame:
-    """df with size, source_size, target, taken and positions, in ascending order of the first position, untaken rows last.
+def mix(df: DataFrame, share: Fraction = Fraction(3, 2), most: int = 2, weigh: Callable[[list], dict] = cycled, schedule: Callable[[int, int], list[tuple[float, float]]] = knots, seed: int = 17, ordered: bool = True, text: str = "text", source: str = "source", block_rows: int = 20_000) -> DataFrame:
+    """df with size, source_size, target, taken and positions, in ascending order of the first position, untaken rows
+    last, or, where they are not to be ordered, as they come.
 
     size: the words of the text (null: 0). The sources, null among them, share `share` of all sizes by their weights, at
     most `most` times their own size each. Within a source, rows stand in a fixed pseudo-random order and are taken from
@@ -103,7 +104,9 @@ def mix(df: DataFrame, share: Fraction = Fraction(3, 2), most: int = 2, weigh: C
     rows = rows.withColumn("taken", F.aggregate(F.col("__at"), F.lit(0).cast("long"), lambda x, a: x + F.least(F.col("size"), F.col("__words") - a)))
     middle = lambda a: (a + F.least(F.col("size"), F.col("__words") - a) / 2) / F.col("__words")
     rows = rows.withColumn("positions", F.transform("__at", lambda a: inverted(middle(a), F.col("__pieces"))))
-    return rows.select(*kept, *own).repartitionByRange(partitions(spark), F.coalesce(F.get("positions", F.lit(0)), F.lit(2.0))).sortWithinPartitions(F.coalesce(F.get("positions", F.lit(0)), F.lit(2.0)))
+    out = rows.select(*kept, *own)
+    first = F.coalesce(F.get("positions", F.lit(0)), F.lit(2.0))
+    return out.repartitionByRange(partitions(spark), first).sortWithinPartitions(first) if ordered else out
 
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
