@@ -95,9 +95,10 @@ def window_min_periods(spark, sf_dir):
     return _window(["mean"], ["identity"], gaps=True, min_periods=6)(spark, sf_dir)
 
 
-@query(f"SELECT event_id, round(CASE WHEN count(value) OVER w >= 2 AND stddev_pop(value) OVER w >= {FLAT} THEN regr_slope(value, rn) OVER w END, 6) AS value_identity_slope FROM (SELECT *, row_number() OVER ({W}) AS rn {G}) WINDOW w AS {FR}")
+@query(f"SELECT event_id, round(CASE WHEN count(value) OVER w >= 2 AND stddev_pop(value) OVER w >= {FLAT} THEN regr_slope(value, rn) OVER w END, 4) AS value_identity_slope FROM (SELECT *, row_number() OVER ({W}) AS rn {G}) WINDOW w AS {FR}")
 def window_slope(spark, sf_dir):
-    return _window(["slope"], ["identity"], gaps=True)(spark, sf_dir)
+    out = window.WindowTransformer(24, ["identity"], ["slope"]).fit_transform(events(spark, sf_dir, True), EVENTS)
+    return out.select("event_id", F.round(col("value.identity.slope"), 4).alias("value_identity_slope"))
 
 
 @query(f"""SELECT event_id, round((SELECT CASE WHEN count(*) >= 2 AND stddev_pop(a) >= {FLAT} AND stddev_pop(b) >= {FLAT} THEN corr(a, b) END FROM (SELECT unnest(l[1:len(l) - 1]) AS a, unnest(l[2:]) AS b)), 6) AS value_identity_acf1
@@ -106,9 +107,9 @@ def window_acf1(spark, sf_dir):
     return _window(["acf1"], ["identity"], gaps=True)(spark, sf_dir)
 
 
-@query(f"""SELECT event_id, round(CASE WHEN len(l) >= 3 AND v > 1e-20 THEN list_avg(list_transform(l, x -> (x - m) * (x - m) * (x - m))) / (v * sqrt(v)) END, 6) AS value_identity_skewness,
-round(CASE WHEN len(l) >= 4 AND v > 1e-20 THEN list_avg(list_transform(l, x -> (x - m) * (x - m) * (x - m) * (x - m))) / (v * v) - 3 END, 6) AS value_identity_kurtosis
-FROM (SELECT *, list_avg(list_transform(l, x -> (x - m) * (x - m))) AS v FROM (SELECT event_id, list(value) FILTER (value IS NOT NULL) OVER w AS l, avg(value) OVER w AS m {G} WINDOW w AS {FR}))""")
+@query(f"""SELECT event_id, round(CASE WHEN len(l) >= 3 AND v > 1e-20 THEN list_avg(list_transform(l, lambda x: (x - m) * (x - m) * (x - m))) / (v * sqrt(v)) END, 6) AS value_identity_skewness,
+round(CASE WHEN len(l) >= 4 AND v > 1e-20 THEN list_avg(list_transform(l, lambda x: (x - m) * (x - m) * (x - m) * (x - m))) / (v * v) - 3 END, 6) AS value_identity_kurtosis
+FROM (SELECT *, list_avg(list_transform(l, lambda x: (x - m) * (x - m))) AS v FROM (SELECT event_id, list(value) FILTER (value IS NOT NULL) OVER w AS l, avg(value) OVER w AS m {G} WINDOW w AS {FR}))""")
 def window_skewness_kurtosis(spark, sf_dir):
     return _window(["skewness", "kurtosis"], ["identity"], gaps=True)(spark, sf_dir)
 
@@ -139,8 +140,8 @@ def rolling_median_sum_energy(spark, sf_dir):
     return out.select("event_id", F.round(col("value.median"), 6).alias("value_median"), F.round(col("value.sum"), 6).alias("value_sum"), F.round(col("value.energy"), 4).alias("value_energy"))
 
 
-@query(f"""SELECT event_id, round(CASE WHEN len(l) >= 2 THEN -list_sum(list_transform(range(10), i -> CASE WHEN len(list_filter(c, x -> x = i)) > 0 THEN (len(list_filter(c, x -> x = i)) / len(c)) * log2(len(list_filter(c, x -> x = i)) / len(c) + 1e-10) ELSE 0 END)) END, 6) AS value_entropy
-FROM (SELECT event_id, l, list_transform(l, x -> least(floor((x - lo) / (hi - lo + 1e-10) * 10), 9)) AS c FROM (SELECT event_id, list(value) FILTER (value IS NOT NULL) OVER w AS l, min(value) OVER w AS lo, max(value) OVER w AS hi {G} WINDOW w AS {FR}))""")
+@query(f"""SELECT event_id, round(CASE WHEN len(l) >= 2 THEN -list_sum(list_transform(range(10), lambda i: CASE WHEN len(list_filter(c, lambda x: x = i)) > 0 THEN (len(list_filter(c, lambda x: x = i)) / len(c)) * log2(len(list_filter(c, lambda x: x = i)) / len(c) + 1e-10) ELSE 0 END)) END, 6) + 0.0 AS value_entropy
+FROM (SELECT event_id, l, list_transform(l, lambda x: least(floor((x - lo) / (hi - lo + 1e-10) * 10), 9)) AS c FROM (SELECT event_id, list(value) FILTER (value IS NOT NULL) OVER w AS l, min(value) OVER w AS lo, max(value) OVER w AS hi {G} WINDOW w AS {FR}))""")
 def rolling_entropy(spark, sf_dir):
     return plain(window.compute_rolling_statistics(events(spark, sf_dir, True), EVENTS, "value", 24, ["entropy"], min_periods=2), "event_id")
 
@@ -178,7 +179,7 @@ def seasonal_naive_forecast(spark, sf_dir):
 
 
 def _cycle_sql(name: str, e: str, length: int) -> str:
-    return f"round(sin(2 * pi() * {e} / {length}), 6) AS time_{name}_sin, round(cos(2 * pi() * {e} / {length}), 6) AS time_{name}_cos"
+    return f"round(sin(2 * pi() * {e} / {length}), 6) + 0.0 AS time_{name}_sin, round(cos(2 * pi() * {e} / {length}), 6) + 0.0 AS time_{name}_cos"
 
 
 DOW = "(isodow(ts) - 1)"
@@ -261,7 +262,7 @@ def fill_short_gaps(spark, sf_dir):
     return _fill("linear", max_gap=1)(spark, sf_dir)
 
 
-@query(f"SELECT event_id, round(coalesce(value, list_avg(list_filter([lag(value, 7) OVER ({W}), lag(value, 14) OVER ({W}), lead(value, 7) OVER ({W}), lead(value, 14) OVER ({W})], x -> x IS NOT NULL)), f), 6) AS value FROM ({_between_sql('rn')})")
+@query(f"SELECT event_id, round(coalesce(value, list_avg(list_filter([lag(value, 7) OVER ({W}), lag(value, 14) OVER ({W}), lead(value, 7) OVER ({W}), lead(value, 14) OVER ({W})], lambda x: x IS NOT NULL)), f), 6) AS value FROM ({_between_sql('rn')})")
 def fill_seasonal(spark, sf_dir):
     return _fill("seasonal", period=7)(spark, sf_dir)
 
@@ -414,7 +415,8 @@ H = "(SELECT h, avg(abs(value - p)) AS e FROM (SELECT h, value, CASE h WHEN 1 TH
 @query(f"SELECT round(sum((x - px) * (e + pe) / 2), 6) AS auc FROM (SELECT h / 7.0 AS x, lag(h / 7.0) OVER (ORDER BY h) AS px, e, lag(e) OVER (ORDER BY h) AS pe FROM {H})")
 def metric_horizon_auc(spark, sf_dir):
     w = EVENTS.rows()
-    wide = events(spark, sf_dir).select("value", F.explode(F.array(*[F.struct(F.lit(k).alias("h"), F.lag("value", k).over(w).alias("p")) for k in (1, 3, 7)])).alias("x")).select("value", "x.h", "x.p")
+    wide = events(spark, sf_dir).withColumns({f"l{k}": F.lag("value", k).over(w) for k in (1, 3, 7)})
+    wide = wide.select("value", F.explode(F.array(*[F.struct(F.lit(k).alias("h"), F.col(f"l{k}").alias("p")) for k in (1, 3, 7)])).alias("x")).select("value", "x.h", "x.p")
     errors = wide.where("p is not null").groupBy("h").agg(M.mae(F.col("value"), F.col("p")).alias("e"))
     return plain(M.area_under_curve(errors, "h", "e"))
 
@@ -569,9 +571,9 @@ def validation_duplicates(spark, sf_dir):
     return out.select("o_custkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), "n")
 
 
-@query(f"SELECT user_id, round(median(g), 6) AS gap_seconds, stddev_pop(g) <= 0.1 * median(g) AS regular, CASE WHEN median(g) / 3600 < 1.5 THEN 'H' WHEN median(g) / 3600 < 25 THEN 'D' WHEN median(g) / 3600 < 169 THEN 'W' ELSE 'M' END AS freq FROM (SELECT user_id, (epoch_us(ts) - epoch_us(lag(ts) OVER ({W}))) / 1e6 AS g {E}) WHERE g IS NOT NULL GROUP BY user_id")
+@query(f"SELECT user_id, round(median(g), 3) AS gap_seconds, stddev_pop(g) <= 0.1 * median(g) AS regular, CASE WHEN median(g) / 3600 < 1.5 THEN 'H' WHEN median(g) / 3600 < 25 THEN 'D' WHEN median(g) / 3600 < 169 THEN 'W' ELSE 'M' END AS freq FROM (SELECT user_id, (epoch_us(ts) - epoch_us(lag(ts) OVER ({W}))) / 1e6 AS g {E}) WHERE g IS NOT NULL GROUP BY user_id")
 def validation_frequency(spark, sf_dir):
-    return plain(validation.frequency(events(spark, sf_dir), EVENTS))
+    return validation.frequency(events(spark, sf_dir), EVENTS).withColumn("gap_seconds", F.round("gap_seconds", 3))
 
 
 @query("SELECT user_id, coalesce(sum((ts < p)::INT), 0)::BIGINT AS n_late FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events) GROUP BY user_id")

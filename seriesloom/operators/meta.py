@@ -143,8 +143,8 @@ def simple(df: DataFrame, series: Series, value: str) -> DataFrame:
     ts = series.order[0]
     timed = isinstance(df.schema[ts].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))
     gap = (F.unix_micros(col(ts).cast("timestamp")) - F.unix_micros(F.lag(col(ts)).over(series.rows()).cast("timestamp"))) / 3.6e9 if timed else F.lit(None).cast("double")
-    wide = df.select(*series.keys(), known(col(value)).alias("x"), gap.alias("g"))
-    return wide.groupBy(*series.keys()).agg(F.count("*").alias("length"), F.avg(F.col("x").isNull().cast("double")).alias("missing_ratio"), F.lit(len(series.values(df))).cast("long").alias("num_features"), F.median("g").alias("freq_hourly"))
+    wide = df.select(*series.keys(), known(col(value)).alias("__x"), gap.alias("__g"))
+    return wide.groupBy(*series.keys()).agg(F.count("*").alias("length"), F.avg(F.col("__x").isNull().cast("double")).alias("missing_ratio"), F.lit(len(series.values(df))).cast("long").alias("num_features"), F.median("__g").alias("freq_hourly"))
 
 
 def statistical(df: DataFrame, series: Series, value: str) -> DataFrame:
@@ -193,12 +193,12 @@ def autocorrelations(df: DataFrame, series: Series, value: str) -> DataFrame:
 def permutation_entropy(df: DataFrame, series: Series, value: str, delay: int = 1) -> DataFrame:
     """Entropy of the orders of three values, over log 3!; from two lags and a count of six kinds."""
     x, w = known(col(value)), series.rows()
-    wide = df.select(*series.keys(), F.lag(x, 2 * delay).over(w).alias("a"), F.lag(x, delay).over(w).alias("b"), x.alias("c")).dropna(subset=["a", "b", "c"])
+    wide = df.select(*series.keys(), F.lag(x, 2 * delay).over(w).alias("__a"), F.lag(x, delay).over(w).alias("__b"), x.alias("__c")).dropna(subset=["__a", "__b", "__c"])
     # ties count as ascending
-    kind = F.concat((F.col("a") <= F.col("b")).cast("int"), (F.col("b") <= F.col("c")).cast("int"), (F.col("a") <= F.col("c")).cast("int"))
-    counts = wide.groupBy(*series.keys(), kind.alias("k")).count()
-    p = F.col("count") / F.sum("count").over(series.whole())
-    return counts.withColumn("p", p).groupBy(*series.keys()).agg((-F.sum(F.col("p") * F.log("p")) / math.log(6)).alias("permutation_entropy"))
+    kind = F.concat((F.col("__a") <= F.col("__b")).cast("int"), (F.col("__b") <= F.col("__c")).cast("int"), (F.col("__a") <= F.col("__c")).cast("int"))
+    counts = wide.groupBy(*series.keys(), kind.alias("__k")).agg(F.count("*").alias("__n"))
+    p = F.col("__n") / F.sum("__n").over(series.whole())
+    return counts.withColumn("__p", p).groupBy(*series.keys()).agg((-F.sum(F.col("__p") * F.log("__p")) / math.log(6)).alias("permutation_entropy"))
 
 
 def hurst(df: DataFrame, series: Series, value: str, most: int = 100) -> DataFrame:
@@ -206,21 +206,21 @@ def hurst(df: DataFrame, series: Series, value: str, most: int = 100) -> DataFra
     x, w = known(col(value)), series.rows()
     wide = df.select(*series.keys(), *map(col, series.order), x.alias("__x"), F.count("*").over(series.whole()).alias("__n"))
     lags = range(2, most)
-    wide = wide.select(*series.keys(), "__n", *[(F.col("__x") - F.lag("__x", k).over(w)).alias(f"d{k}") for k in lags])
-    spread = wide.groupBy(*series.keys()).agg(F.max("__n").alias("__n"), *[F.stddev_pop(f"d{k}").alias(f"d{k}") for k in lags])
-    pairs = F.filter(F.array(*[F.struct(F.lit(math.log(k)).alias("k"), F.when((F.lit(k) < F.least(F.lit(most), F.floor(F.col("__n") / 2))) & (F.col(f"d{k}") > 1e-10), 0.5 * F.log(f"d{k}")).alias("s")) for k in lags]), lambda p: p["s"].isNotNull())
-    long = spread.select(*series.keys(), F.explode(pairs).alias("p"))
-    return long.groupBy(*series.keys()).agg(F.when(F.count("*") >= 2, 2 * F.regr_slope("p.s", "p.k")).alias("hurst_exponent"))
+    wide = wide.select(*series.keys(), "__n", *[(F.col("__x") - F.lag("__x", k).over(w)).alias(f"__d{k}") for k in lags])
+    spread = wide.groupBy(*series.keys()).agg(F.max("__n").alias("__n"), *[F.stddev_pop(f"__d{k}").alias(f"__d{k}") for k in lags])
+    pairs = F.filter(F.array(*[F.struct(F.lit(math.log(k)).alias("k"), F.when((F.lit(k) < F.least(F.lit(most), F.floor(F.col("__n") / 2))) & (F.col(f"__d{k}") > 1e-10), 0.5 * F.log(f"__d{k}")).alias("s")) for k in lags]), lambda p: p["s"].isNotNull())
+    long = spread.select(*series.keys(), F.explode(pairs).alias("__q"))
+    return long.groupBy(*series.keys()).agg(F.when(F.count("*") >= 2, 2 * F.regr_slope("__q.s", "__q.k")).alias("hurst_exponent"))
 
 
 def density_entropy(df: DataFrame, series: Series, value: str, bins: int = 10) -> DataFrame:
     """-sum d ln d over the density histogram of the standardised values, in ten bins between least and greatest."""
     x, w = known(col(value)), series.whole()
-    wide = df.select(*series.keys(), F.try_divide(x - F.avg(x).over(w), F.stddev_pop(x).over(w)).alias("z")).dropna(subset=["z"])
-    wide = wide.withColumn("lo", F.min("z").over(w)).withColumn("hi", F.max("z").over(w)).withColumn("n", F.count("*").over(w)).where("hi > lo")
-    cells = wide.groupBy(*series.keys(), F.least(F.floor((F.col("z") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1)).alias("b")).agg(F.count("*").alias("c"), F.max("n").alias("n"), F.max(F.col("hi") - F.col("lo")).alias("r"))
-    d = F.col("c") / F.col("n") / (F.col("r") / bins)
-    return cells.withColumn("d", d).groupBy(*series.keys()).agg((-F.sum(F.col("d") * F.log("d"))).alias("entropy"))
+    wide = df.select(*series.keys(), F.try_divide(x - F.avg(x).over(w), F.stddev_pop(x).over(w)).alias("__z")).dropna(subset=["__z"])
+    wide = wide.withColumn("__lo", F.min("__z").over(w)).withColumn("__hi", F.max("__z").over(w)).withColumn("__n", F.count("*").over(w)).where("__hi > __lo")
+    cells = wide.groupBy(*series.keys(), F.least(F.floor((F.col("__z") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * bins), F.lit(bins - 1)).alias("__b")).agg(F.count("*").alias("__c"), F.max("__n").alias("__n"), F.max(F.col("__hi") - F.col("__lo")).alias("__r"))
+    d = F.col("__c") / F.col("__n") / (F.col("__r") / bins)
+    return cells.withColumn("__d", d).groupBy(*series.keys()).agg((-F.sum(F.col("__d") * F.log("__d"))).alias("entropy"))
 
 
 def nonlinearity(df: DataFrame, series: Series, value: str) -> DataFrame:
