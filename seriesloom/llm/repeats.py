@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seriesloom.llm.bitmaps import bitmap
 from seriesloom.llm.common import partitions, stored, table
 from seriesloom.llm.shingles import _BYTE, POWERS, U, mixed
 
@@ -17,6 +18,8 @@ from seriesloom.llm.shingles import _BYTE, POWERS, U, mixed
 ANCHOR = 64
 #: Distinct surroundings of an anchor above which its windows are counted one by one instead of sorted in a task.
 CROWDED = 20_000
+#: Bits of the bitmaps that keep back anchors which occur once, and documents without repeats: 4 MB and 512 KB.
+ANCHOR_BITS, DOCUMENT_BITS = 25, 22
 #: A text is looked through in pieces of so many bytes.
 PIECE = 1 << 19
 ANCHORS = "anchor long, seg long, did long, dkey long, pos int, before int, after int"
@@ -104,10 +107,10 @@ def intervals(common: np.ndarray) -> list[tuple[int, int, int]]:
 def _shared(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
     """Lengths of the prefixes that rows of a and b share, at most most."""
     out = np.empty(len(a), np.int64)
-    for at in range(0, len(a), 16384):
-        differs = a[at : at + 16384] != b[at : at + 16384]
+    for at in range(0, len(a), 8192):
+        differs = a[at : at + 8192] != b[at : at + 8192]
         first = differs.argmax(1)
-        out[at : at + 16384] = np.where(differs[np.arange(len(first)), first], first, a.shape[1])
+        out[at : at + 8192] = np.where(differs[np.arange(len(first)), first], first, a.shape[1])
     return np.minimum(out, most)
 
 
@@ -141,7 +144,7 @@ def maximal(group: np.ndarray, behind: np.ndarray, n_behind: np.ndarray, ahead:
     results, at = [], 0
     sizes = last - first + 1
     while at < len(tree):
-        upto = max(at + 1, int(np.searchsorted(np.cumsum(sizes[at:]), 200_000)) + at)
+        upto = max(at + 1, int(np.searchsorted(np.cumsum(sizes[at:]), 40_000)) + at)
         node = np.repeat(np.arange(at, upto), sizes[at:upto])
         within = np.arange(len(node)) - np.repeat(np.cumsum(sizes[at:upto]) - sizes[at:upto], sizes[at:upto])
         row, depth = order[first[node] + within], deep[node]
@@ -162,26 +165,34 @@ def _surroundings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted, with the bytes around each anchor; each document's anchors are a list of its own."""
     kind = "anchor long, seg long, pos int, before int, after int, crowded boolean, copies long"
     lists = wanted.groupBy("did", "dkey").agg(F.collect_list(F.struct(*[c.split()[0] for c in kind.split(", ")])).alias("of"))
-    rows = docs.select("did", "dkey", "text").dropDuplicates(["did", "dkey"]).join(lists, ["did", "dkey"])
+    rows = docs.where(bitmap(wanted, "dkey", DOCUMENT_BITS)("dkey")).select("did", "dkey", "text").join(lists, ["did", "dkey"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for text, of in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = text.encode()
-                out += [(x["anchor"], x["seg"], x["before"], x["crowded"], x["copies"], data[x["pos"] - x["before"] : x["pos"] + x["after"]]) for x in of]
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary()]
-            for a in range(0, max(len(out), 1), 20_000):
-                part = out[a : a + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], k) for i, k in enumerate(kinds)], names=["anchor", "seg", "before", "crowded", "copies", "bytes"])
+            for text, of in zip(batch.column(0), batch.column(1), strict=True):
+                data = text.as_buffer().to_pybytes()
+                out += [(x["anchor"], x["seg"], x["before"], x["crowded"], x["copies"], data[x["pos"] - x["before"] : x["pos"] + x["after"]]) for x in of.as_py()]
+                if len(out) > 4000:
+                    yield _rows(out)
+                    out = []
+            yield _rows(out)
 
     return rows.select("text", "of").mapInArrow(run, "anchor long, seg long, before int, crowded boolean, copies long, bytes binary")
 
 
-def _sorted_out(rows: DataFrame, length: int, block: int = 4096) -> DataFrame:
+def _rows(out: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["anchor", "seg", "before", "crowded", "copies", "bytes"])
+
+
+def _sorted_out(rows: DataFrame, length: int, block: int = 2048) -> DataFrame:
     """anchor, seg, lo, hi: strings around the anchor that another surrounding of it holds as well."""
 
     def found(anchor: np.ndarray, seg: np.ndarray, before: np.ndarray, data: list[bytes]) -> pa.RecordBatch:
+        # a row that is repeated in the table comes once more
+        _, once = np.unique(np.stack([anchor, seg]), axis=1, return_index=True)
+        anchor, seg, before, data = anchor[once], seg[once], before[once], [data[i] for i in once]
         n = np.array([len(x) for x in data], np.int64)
         flat, ends = np.frombuffer(b"".join(data), np.uint8), np.cumsum(n)
         at = ends - n + before
@@ -243,6 +254,8 @@ def occurrences(docs: DataFrame, length: int = 400, crowded: int = CROWDED) -> D
     Every byte that such a string of exactly length bytes covers is in one of them, and no other byte is.
     """
     places = stored(_find(docs, length), "anchors")
+    often = places.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+    places = stored(places.where(bitmap(often, "anchor", ANCHOR_BITS)("anchor")), "anchors-often")
     first = F.min(F.struct("did", "dkey", "pos", "before", "after")).alias("at")
     distinct = places.groupBy("anchor", "seg").agg(F.count("*").alias("copies"), first)
     per_anchor = distinct.groupBy("anchor").agg(F.sum("copies").alias("total"), F.count("*").alias("segs")).where("total > 1")
@@ -251,7 +264,7 @@ def occurrences(docs: DataFrame, length: int = 400, crowded: int = CROWDED) -> D
     whole = wanted.where(f"copies > 1 and before + after >= {length}").select("anchor", "seg", (-F.col("before")).cast("long").alias("lo"), F.col("after").cast("long").alias("hi"))
     around = _surroundings(docs, wanted.where(f"segs > 1 and before + after >= {length}"))
     if wanted.where("crowded").limit(1).count():
-        around = stored(around, "bytes-around")
+        around = stored(around.dropDuplicates(["anchor", "seg"]), "bytes-around")
         parts = _sorted_out(around.where("not crowded"), length).union(_counted_out(around.where("crowded"), length))
     else:
         parts = _sorted_out(around, length)
@@ -279,8 +292,11 @@ def remove_repeats(df: DataFrame, length: int = 400, crowded: int = CROWDED) ->
     recognised by 64-bit hashes.
     """
     docs = keyed(df)
-    lists = occurrences(docs, length, crowded).groupBy("did", "dkey").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    rows = docs.join(lists, ["did", "dkey"], "left").select("doc_id", "text", "spans")
+    lists = stored(occurrences(docs, length, crowded).groupBy("did", "dkey").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
+    # documents that the bitmap shows to have no span need not meet the spans
+    some = docs.withColumn("some", bitmap(lists, "dkey", DOCUMENT_BITS)("dkey"))
+    none = F.lit(None).cast(lists.schema["spans"].dataType).alias("spans")
+    rows = some.where("some").join(lists, ["did", "dkey"], "left").select("doc_id", "text", "spans").union(some.where("not some").select("doc_id", "text", none))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
