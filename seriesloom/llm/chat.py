@@ -144,4 +144,4 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = f"{END}{START}assistant ok"
     probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     path, pattern = vocabulary("byte_bpe_50k.tiktoken"), piece_pattern()
-    return read_back(format_conversations(rows.union(probe), path, pattern), path, pattern)
+    return read_back(format_conversations(rows.union(probe), path, pattern), path, pattern).drop("n_tokens")

@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from seriesloom.llm import bpe, chat, fingerprint, jaccard, langid, mixing, repeats, secrets, tokens, treeforest
+from seriesloom.llm import bpe, chat, fingerprint, jaccard, langid, mixing, oracles, repeats, secrets, tokens, treeforest
 
 QUERIES = {
     "op1_token_output": tokens.op1_token_output,
@@ -14,4 +14,4 @@ QUERIES = {
     "op9_source_mix": mixing.op9_source_mix,
     "op10_chat_format": chat.op10_chat_format,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_projection_forest": oracles.OP3, "op4_ngram_jaccard": oracles.OP4, "op10_chat_format": oracles.OP10}
