@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from seriesloom.functions import metrics as M
 from seriesloom.operators import meta, missing, selection, spectral, validation, window
 from seriesloom.operators import time_encoding as TE
+from seriesloom.plans import models
 from seriesloom.plans import pipeline as P
 from seriesloom.series import Series, col
 from seriesloom.session import reachable
@@ -614,3 +615,56 @@ def ridge_model(spark, sf_dir):
     df = window.create_lagged_features(events(spark, sf_dir), EVENTS, [1], ["value"]).where("value_lag_1 is not null")
     b, a = selection.ridge(df, ["value_lag_1"], "value")
     return plain(spark.createDataFrame([("b", b["value_lag_1"]), ("a", a)], "name string, v double"))
+
+
+HE = f"""(SELECT h AS horizon, m AS model, avg(abs(y - p)) AS error FROM (SELECT h, m, CASE h WHEN 1 THEN y1 ELSE y3 END AS y, CASE m WHEN 'last' THEN value WHEN 'season' THEN s ELSE a END AS p
+FROM (SELECT value, lag(value, 6) OVER ({W}) AS s, avg(value) OVER ({W} ROWS UNBOUNDED PRECEDING) AS a, lead(value, 1) OVER ({W}) AS y1, lead(value, 3) OVER ({W}) AS y3 {E}), (VALUES (1), (3)) t(h), (VALUES ('last'), ('season'), ('mean')) u(m)) WHERE y IS NOT NULL AND p IS NOT NULL GROUP BY ALL)"""
+
+
+@query(f"SELECT horizon, model, round(error, 6) AS error FROM {HE}")
+def horizon_error_curves(spark, sf_dir):
+    return plain(models.horizon_errors(events(spark, sf_dir), EVENTS, "value", [1, 3]))
+
+
+@query(f"SELECT horizon, arg_min(model, error) AS model, round(min(error), 6) AS error FROM {HE} GROUP BY horizon")
+def best_model_by_horizon(spark, sf_dir):
+    return plain(models.best_by_horizon(models.horizon_errors(events(spark, sf_dir), EVENTS, "value", [1, 3])))
+
+
+@query(f"SELECT horizon, round(max(error) FILTER (model = 'last'), 6) AS last, round(max(error) FILTER (model = 'season'), 6) AS season, round(max(error) FILTER (model = 'mean'), 6) AS mean FROM {HE} GROUP BY horizon")
+def model_error_pivot(spark, sf_dir):
+    errors = models.horizon_errors(events(spark, sf_dir), EVENTS, "value", [1, 3])
+    return plain(errors.groupBy("horizon").pivot("model", ["last", "season", "mean"]).agg(F.max("error")))
+
+
+@query("SELECT * FROM (VALUES ('lags', 3.0::DOUBLE), ('windows', 5.5::DOUBLE), ('time', 0.0::DOUBLE)) t(\"group\", importance)")
+def feature_group_importance(spark, sf_dir):
+    rows = spark.createDataFrame([("a_lag_1", 1.0), ("a_lag_7", 2.0), ("a_roll_7_mean", 5.0), ("a.sma.std", 0.5)], "feature string, importance double")
+    return models.group_importance(rows, {"lags": "lag_", "windows": "roll_|[.]sma[.]", "time": "^time"})
+
+
+@query("SELECT year(o_orderdate)::INT AS year, round(avg(o_totalprice::DOUBLE), 4) AS mean, count(*) AS n FROM orders GROUP BY 1")
+def yearly_mean(spark, sf_dir):
+    df = table(spark, sf_dir, "orders").select("o_orderdate", F.col("o_totalprice").cast("double").alias("v"))
+    return df.groupBy(F.year("o_orderdate").alias("year")).agg(F.round(F.avg("v"), 4).alias("mean"), F.count("*").alias("n"))
+
+
+@query()
+def random_forest_forecast(spark, sf_dir):
+    df = window.create_lagged_features(window.add_target(events(spark, sf_dir), EVENTS, "value", 1), EVENTS, [1, 2, 7], ["value"])
+    names = ["value_lag_1", "value_lag_2", "value_lag_7"]
+    train, test = P.chronological_split(df, EVENTS)
+    made = models.predict(models.fit_model(train, names, "target", "random_forest", 10, 3), test, names, "target")
+    return plain(made.select("event_id", "target", "prediction"), "event_id")
+
+
+@query()
+def standardised_components(spark, sf_dir):
+    made = models.principal_components(lines(spark, sf_dir), NAMES, 3)
+    return made.select(F.date_format("day", "yyyy-MM-dd").alias("day"), *[F.round(F.get("components", F.lit(i)), 6).alias(f"c{i}") for i in range(3)])
+
+
+@query()
+def feature_method_overlap(spark, sf_dir):
+    tops = selection.compare_feature_selection_methods(lines(spark, sf_dir), ["quantity", "discount", "tax", "n"], "extendedprice", ["day"], ["pearson", "f_regression", "distance_corr"], 2)
+    return spark.createDataFrame(selection.analyze_feature_intersection(tops), "a string, b string, n_both int, jaccard double")
