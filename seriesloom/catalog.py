@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from seriesloom.functions import metrics as M
 from seriesloom.operators import meta, missing, selection, spectral, validation, window
 from seriesloom.operators import time_encoding as TE
-from seriesloom.plans import models
+from seriesloom.plans import long_series, models
 from seriesloom.plans import pipeline as P
 from seriesloom.series import Series, col
 from seriesloom.session import reachable
@@ -668,3 +668,12 @@ def standardised_components(spark, sf_dir):
 def feature_method_overlap(spark, sf_dir):
     tops = selection.compare_feature_selection_methods(lines(spark, sf_dir), ["quantity", "discount", "tax", "n"], "extendedprice", ["day"], ["pearson", "f_regression", "distance_corr"], 2)
     return spark.createDataFrame(selection.analyze_feature_intersection(tops), "a string, b string, n_both int, jaccard double")
+
+
+@query("SELECT event_id, round(avg(value) OVER w, 8) AS value_sma_mean, round(max(value) OVER w, 8) AS value_sma_max FROM (SELECT event_id, ts, avg(value) OVER (ORDER BY ts, event_id ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS value FROM events) WINDOW w AS (ORDER BY ts, event_id ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)")
+def long_series_window(spark, sf_dir):
+    df = table(spark, sf_dir, "events").select("ts", "event_id", "value")
+    step = window.WindowTransformer(24, ["sma"], ["mean", "max"])
+    # a window over windows reaches twice as far back
+    out = long_series.transform_long(step, df, Series(("ts", "event_id")), 46, 1000)
+    return out.select("event_id", *[F.round(col(f"value.sma.{s}"), 8).alias(f"value_sma_{s}") for s in ("mean", "max")])
