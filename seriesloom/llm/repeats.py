@@ -293,10 +293,11 @@ def remove_repeats(df: DataFrame, length: int = 400, crowded: int = CROWDED) ->
     """
     docs = keyed(df)
     lists = stored(occurrences(docs, length, crowded).groupBy("did", "dkey").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
-    # documents that the bitmap shows to have no span need not meet the spans
+    # documents that the bitmap shows to have no span need not meet the spans, nor Python
     some = docs.withColumn("some", bitmap(lists, "dkey", DOCUMENT_BITS)("dkey"))
-    none = F.lit(None).cast(lists.schema["spans"].dataType).alias("spans")
-    rows = some.where("some").join(lists, ["did", "dkey"], "left").select("doc_id", "text", "spans").union(some.where("not some").select("doc_id", "text", none))
+    rows = some.where("some").join(lists, ["did", "dkey"], "left").select("doc_id", "text", "spans")
+    schema = "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary"
+    clean = some.where("not some").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.array().cast("array<struct<start:long,end:long>>").alias("removed"), F.col("text").cast("binary").alias("kept"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -310,7 +311,7 @@ def remove_repeats(df: DataFrame, length: int = 400, crowded: int = CROWDED) ->
                 kept.append(b"".join(data[a:b] for a, b in zip(edges[0::2], edges[1::2], strict=True)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "removed", "kept"])
 
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary")
+    return rows.mapInArrow(run, schema).union(clean)
 
 
 def op5_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
