@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import PieceCache, piece_pattern, ranks, table, vocabulary
+from seriesloom.llm.common import piece_pattern, ranks, table, vocabulary
+from seriesloom.llm.pieces import Splitter
 
 #: A row of a piece holds position << 16 | token; a candidate pair holds rank << 40 | position << 20 | next position.
 LONGEST_PIECE = 256
@@ -49,11 +50,10 @@ class DuckBpe:
     take the same contractions from a heap.
     """
 
-    def __init__(self, path: str, pattern: str, memory: str = "350MB"):
+    def __init__(self, path: str, pattern: str, memory: str = "350MB", bound: int = 400_000):
         import duckdb
-        import regex
 
-        self.ranks, self.find = ranks(path), regex.compile(pattern).findall
+        self.ranks, self.split = ranks(path), Splitter(pattern)
         self.bytes_of = np.full(256, -1, np.int64)
         for b in range(256):
             self.bytes_of[b] = self.ranks.get(bytes([b]), -1)
@@ -64,20 +64,21 @@ class DuckBpe:
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": memory})
         self._load("merges", pa.table({"both": np.array([p[0] for p in pairs], np.int64), "rank": np.array([p[1] for p in pairs], np.int32)}))
         self._load("tokens", pa.table({"token": np.array(list(self.ranks.values()), np.int32), "hex": [t.hex() for t in self.ranks]}))
-        self.cache = PieceCache(self.encode_pieces)
+        self.known, self.bound = {}, bound
 
     def _load(self, name: str, rows: pa.Table) -> None:
         self.db.register("arrow_rows", rows)
         self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM arrow_rows")
         self.db.unregister("arrow_rows")
 
-    def encode_pieces(self, pieces: list[str]) -> list[np.ndarray]:
+    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece, 4 bytes each."""
         out: list = [None] * len(pieces)
         todo, raw = [], []
         for i, piece in enumerate(pieces):
             data = piece.encode()
             if (r := self.ranks.get(data)) is not None:
-                out[i] = np.array([r], "<u4")
+                out[i] = r.to_bytes(4, "little")
             elif len(data) > LONGEST_PIECE:
                 out[i] = self._heap(data)
             else:
@@ -88,18 +89,18 @@ class DuckBpe:
                 out[i] = ids
         return out
 
-    def _contract(self, words: list[bytes]) -> list[np.ndarray]:
+    def _contract(self, words: list[bytes]) -> list[bytes]:
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         data = np.frombuffer(b"".join(words), np.uint8)
         place = np.arange(len(data)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         self.db.register("cells", pa.table({"word": np.repeat(np.arange(len(words), dtype=np.int32), lengths), "cell": (place << 16) | self.bytes_of[data]}))
         ids = self.db.sql(CONTRACT).to_arrow_table().column("ids").combine_chunks()
         self.db.unregister("cells")
-        values, ends = ids.flatten().to_numpy().astype("<u4"), ids.offsets.to_numpy()
-        ends = ends - ends[0]
+        values, ends = ids.flatten().to_numpy().astype("<u4").tobytes(), ids.offsets.to_numpy()
+        ends = 4 * (ends - ends[0])
         return [values[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
-    def _heap(self, data: bytes) -> np.ndarray:
+    def _heap(self, data: bytes) -> bytes:
         ids, n = self.bytes_of[np.frombuffer(data, np.uint8)].tolist(), len(data)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         queue = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := self.merge_of.get((ids[i] << 16) + ids[i + 1])) is not None]
@@ -115,12 +116,17 @@ class DuckBpe:
             for x, y in ((before[i], i), (i, after[i])):
                 if x >= 0 and y < n and (m := self.merge_of.get((ids[x] << 16) + ids[y])) is not None:
                     heapq.heappush(queue, (m, x, ids[x], ids[y]))
-        return np.array([x for x in ids if x >= 0], "<u4")
+        return np.array([x for x in ids if x >= 0], "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        pieces = [self.find(t) for t in texts]
-        known = self.cache.many(pieces)
-        return [np.concatenate([known[p] for p in own]) if own else np.zeros(0, "<u4") for own in pieces]
+        """Ids of each text. Pieces are encoded once for as long as they are kept."""
+        if len(self.known) > self.bound:
+            self.known.clear()
+        pieces = [self.split(t) for t in texts]
+        new = list(set().union(*pieces).difference(self.known))
+        self.known.update(zip(new, self.encode_pieces(new), strict=True))
+        get = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(get, own)), "<u4") for own in pieces]
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         lengths = np.array([len(x) for x in ids])

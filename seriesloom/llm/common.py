@@ -6,7 +6,6 @@ import base64
 import functools
 import tempfile
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,19 +68,3 @@ def piece_pattern() -> str:
     import public_tokenizers
 
     return public_tokenizers.PATTERN
-
-
-class PieceCache:
-    """Ids of text pieces, encoded once for as long as they stay; emptied when over its bound."""
-
-    def __init__(self, encode: Callable[[list[str]], list], bound: int = 400_000):
-        self.encode, self.bound, self.known = encode, bound, {}
-
-    def many(self, texts_pieces: list[list[str]]) -> dict:
-        known = self.known
-        if len(known) > self.bound:
-            known.clear()
-        new = list({p for pieces in texts_pieces for p in pieces if p not in known})
-        if new:
-            known.update(zip(new, self.encode(new), strict=True))
-        return known
