@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import functools
 import os
-import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,11 +16,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seriesloom.llm.bpe import by_size
-from seriesloom.llm.common import PieceCache, partitions, piece_pattern, shared_dir, table, vocabulary
+from seriesloom.llm.common import partitions, piece_pattern, shared_dir, table, vocabulary
+from seriesloom.llm.pieces import Splitter
 
 SCHEMA = "part int, local_start long, doc_id long, n_tokens long, token_ids array<int>"
-#: Up to here the splitting pattern means the same to any version of the Unicode tables.
-SETTLED = "ɏ"
 
 
 @functools.cache
@@ -31,37 +30,47 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class _Known(dict):
+    """Ids of pieces, encoded when first asked for."""
+
+    def __init__(self, tokenize):
+        self.tokenize, self.letters = tokenize, byte_letters()
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self[piece] = array("I", [t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        return found
+
+
 class LibraryEncoder:
-    """Ids from the tokenizers library. Each distinct piece is encoded once for a while.
+    """Ids from the tokenizers library, 4 bytes each. Each distinct piece is encoded once for a while.
 
     Texts beyond the letters for which the splitting pattern is settled are given to the library whole. The strings of
     special tokens are ordinary text.
     """
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, bound: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.find, self.unsettled = regex.compile(pattern).findall, re.compile(f"[^\\x00-{SETTLED}]").search
-        self.cache = PieceCache(self.encode_pieces)
-
-    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        tokenize, letters = self.tokenizer.model.tokenize, byte_letters()
-        return [np.array([t.id for t in tokenize(p.encode().decode("latin-1").translate(letters))], "<u4").tobytes() for p in pieces]
+        self.split, self.bound = Splitter(pattern), bound
+        # a model of its own, whose inner cache would only hold what is held here
+        model = Tokenizer.from_file(path).model
+        model._resize_cache(0)
+        self.known = _Known(model.tokenize)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [i for i, t in enumerate(texts) if self.unsettled(t)]
-        out = [b""] * len(texts)
+        if len(self.known) > self.bound:
+            self.known.clear()
+        out, whole, get = [b""] * len(texts), [], self.known.__getitem__
+        for i, t in enumerate(texts):
+            if self.split.unsettled(t):
+                whole.append(i)
+            else:
+                out[i] = b"".join(map(get, self.split.fast(t)))
         for i, e in zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
             out[i] = np.array(e.ids, "<u4").tobytes()
-        rest = sorted({*range(len(texts))} - {*whole})
-        pieces = [self.find(texts[i]) for i in rest]
-        known = self.cache.many(pieces)
-        for i, own in zip(rest, pieces, strict=True):
-            out[i] = b"".join([known[p] for p in own])
         return out
 
 
@@ -94,7 +103,7 @@ def write(df: DataFrame, path: str, tokenizer: str, pattern: str, end_id: int =
                 start += int(ends[-1])
 
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = rows.repartitionByRange(files or partitions(df.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = rows.repartitionByRange(files or max(1, partitions(df.sparkSession) // 2), "doc_id").sortWithinPartitions("doc_id", "text")
     options = {
         "compression": "zstd", "parquet.block.size": row_group_mb << 20, "parquet.page.size": page_kb << 10, "parquet.page.row.count.limit": 2000,
         "parquet.enable.dictionary": "true", "parquet.dictionary.page.size": 1 << 20, "parquet.writer.version": "v2",
@@ -111,7 +120,9 @@ def read(spark: SparkSession, path: str, columns: list[str] | None = None, where
     files = spark.read.schema(SCHEMA).parquet(path)
     bases = files.groupBy("part").agg(F.sum("n_tokens").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     rows = files.where(where) if where is not None else files
-    out = rows.join(bases.select("part", "base"), "part").withColumn("start", F.col("base") + F.col("local_start"))
+    bases = bases.select("part", "base")
+    # a row for each file
+    out = rows.join(F.broadcast(bases) if bases.count() <= 100_000 else bases, "part").withColumn("start", F.col("base") + F.col("local_start"))
     return out.select(*(columns or ["doc_id", "start", "n_tokens", "token_ids"]))
 
 
