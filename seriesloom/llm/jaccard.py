@@ -108,7 +108,8 @@ def _prefixes(df: DataFrame, k: int, percent: int, seed: int, classes: np.ndarra
                 if not len(s):
                     continue
                 own = classes[(s >> U(64 - SKETCH_BITS)).astype(np.int64)]
-                order = np.lexsort((s, own)) if len(s) < 64 else np.argsort((own.astype(U) << U(56)) | (s & U((1 << 56) - 1)), kind="stable")
+                # one order for sets of any size: the class, then the low 56 bits, then (s ascends, the sort is stable) the rest
+                order = np.argsort((own.astype(U) << U(56)) | (s & U((1 << 56) - 1)), kind="stable")
                 n = len(s)
                 need = matches_needed(estimate[own[order[: n - int(_least_overlap(n, percent)) + MOST_MATCHES]]], n, percent, documents)
                 chosen = s[order[: n - int(_least_overlap(n, percent)) + need]]

@@ -135,6 +135,17 @@ def test_jaccard_join(docs, none, monkeypatch, words, percent, paired, block):
         assert sorted((d, n, c) for d, _, n, c in out if d is not None) == [(0, 1, 0)] * 2 + [(1, 1, 1)] * 2 and [c for d, _, _, c in out if d is None] == [None]
 
 
+def test_jaccard_join_of_near_copies_of_58_to_70_shingles(spark):
+    rng = random.Random(5)
+    rows = []
+    for g in range(80):
+        base = [f"g{g}w{i}" for i in range(72)]
+        rows += [(3 * g + i, " ".join(base[:n])) for i, n in enumerate((rng.randrange(60, 65), rng.randrange(65, 69), rng.randrange(69, 73)))]
+    got = by(jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90), "doc_id", "n_shingles", "n_links", "component_id")
+    assert {n for _, n, _, _ in got} == set(range(58, 71))
+    assert got == sorted(brute.jaccard(rows, 3, 90))
+
+
 @pytest.mark.parametrize("crowded", [20_000, 3])
 def test_repeats(docs, none, crowded):
     got = repeats.remove_repeats(docs, 400, crowded)
