@@ -21,6 +21,10 @@ SAMPLE = 20_000
 #: A vector this near to a split, times the standard deviation of a random unit projection, goes to both sides.
 SPILL = 0.08
 DEEPEST = 16
+#: Share of the near pairs at a node that one tree may lose: with five trees, about 0.5 % are then lost by all.
+LOSS = 0.35
+#: Rows of a node's part of the sample among which near pairs are looked for.
+PROBED = 512
 
 
 def usable(vector: str, label: str, key: str) -> Column:
@@ -30,37 +34,53 @@ def usable(vector: str, label: str, key: str) -> Column:
 
 
 class Trees:
-    """Random splits: each level of a tree has a direction, each node a threshold, the median of its part of the sample."""
+    """Random splits: each level of a tree has a direction, each node a threshold, the median of its part of the sample.
 
-    def __init__(self, sample: np.ndarray, depth: int, seed: int):
+    A node is not split where the share of near pairs lost on its path would pass LOSS: of the near pairs among its part of
+    the sample those that the split parts, or without enough of them the share of its parent.
+    """
+
+    def __init__(self, sample: np.ndarray, depth: int, seed: int, least: float = 0.98):
         self.depth, self.dim = depth, sample.shape[1]
         rng = np.random.default_rng([seed, self.dim])
         d = rng.standard_normal((TREES, depth, self.dim))
         self.directions = (d / np.sqrt((d * d).sum(2))[:, :, None]).astype(np.float32)
         self.thresholds = np.zeros((TREES, max(1, (1 << depth) - 1)), np.float32)
+        self.whole = np.zeros((TREES, 1 << (depth + 1)), bool)
+        spill = SPILL / np.sqrt(self.dim)
         for t in range(TREES):
             projections = sample @ self.directions[t].T
-            parts = [np.arange(len(sample))]
+            parts = [(np.arange(len(sample)), 1.0, 0.02)]
             for level in range(depth):
                 middle = float(np.median(projections[:, level])) if len(sample) else 0.0
                 below = []
-                for node, rows in enumerate(parts):
+                for node, (rows, kept, lost) in enumerate(parts):
                     values = projections[rows, level]
                     cut = float(np.median(values)) if len(rows) >= 16 else middle
                     self.thresholds[t, (1 << level) - 1 + node] = cut
-                    below += [rows[values <= cut], rows[values > cut]]
+                    some = rng.permutation(len(rows))[:PROBED]
+                    i, j = np.nonzero(np.triu(sample[rows[some]] @ sample[rows[some]].T >= least, 1))
+                    if len(i) >= 30:
+                        v = values[some]
+                        lost = max(0.02, float(((np.minimum(v[i], v[j]) <= cut - spill) & (np.maximum(v[i], v[j]) > cut + spill)).mean()))
+                    if kept * (1 - lost) < 1 - LOSS:
+                        self.whole[t, (1 << level) + node] = True
+                    kept *= 1 - lost
+                    # the sample is spilled like the rows, so that a part holds the pairs that are still together
+                    below += [(rows[values <= cut + spill], kept, lost), (rows[values > cut - spill], kept, lost)]
                 parts = below
 
     def cells(self, x: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, cell) for each leaf of each tree that a row falls into; a row is split as often as depth says."""
+        """(row, cell) for each leaf of each tree that a row falls into; a row is split at most as often as depth says."""
         spill = SPILL / np.sqrt(self.dim)
         rows_out, cells_out = [], []
         for t in range(TREES):
             projections = x @ self.directions[t].T
-            row, node = np.arange(len(x)), np.zeros(len(x), np.int64)
+            # the root is node 1, the halves of a node are 2 * node and 2 * node + 1
+            row, node = np.arange(len(x)), np.ones(len(x), np.int64)
             for level in range(self.depth):
-                going = depth[row] > level
-                value = np.where(going, projections[row, level] - self.thresholds[t, (1 << level) - 1 + np.where(going, node, 0)], 0)
+                going = (depth[row] > level) & ~self.whole[t, node]
+                value = np.where(going, projections[row, level] - self.thresholds[t, np.where(going, node, 1) - 1], 0)
                 left, right = going & (value <= spill), going & (value > -spill)
                 still = ~going
                 row, node = np.concatenate([row[still], row[left], row[right]]), np.concatenate([node[still], node[left] * 2, node[right] * 2 + 1])
@@ -130,7 +150,7 @@ def near_vectors(df: DataFrame, least: float = 0.98, key: str = "vec_id", vector
 
     Each tree splits at random directions, at the medians of a sample of SAMPLE rows; all rows are routed, and those near a
     split go to both sides. The trees of a label are as deep as its number of vectors asks for, so that a leaf holds
-    about LEAF of them. Pairs within a leaf are compared by cosine in double precision; a pair that meets in several
+    about LEAF of them; a node whose split would part too many near pairs stays one leaf. Pairs within a leaf are compared by cosine in double precision; a pair that meets in several
     leaves is counted in the first. Leaves of more than BLOCK rows are compared by pairs of blocks. No pair leaves a
     task: sums of links and a spanning forest do. Cosines are exact; pairs that no tree brings together are missed.
     """
@@ -146,7 +166,7 @@ def near_vectors(df: DataFrame, least: float = 0.98, key: str = "vec_id", vector
         if r["n"] > SAMPLE:
             share = share.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int((1 << 20) * SAMPLE / r["n"]))
         sample = share.select("vector").limit(2 * SAMPLE).toPandas()["vector"] if r["depth"] else pd.Series([], dtype=object)
-        trees[r["dim"]] = Trees(_unit(sample).astype(np.float32) if len(sample) else np.zeros((0, r["dim"]), np.float32), r["depth"], seed)
+        trees[r["dim"]] = Trees(_unit(sample).astype(np.float32) if len(sample) else np.zeros((0, r["dim"]), np.float32), r["depth"], seed, least)
 
     def route(batches):
         for pdf in batches:

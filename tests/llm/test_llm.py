@@ -122,6 +122,20 @@ def test_vector_forest(spark):
     assert treeforest.near_vectors(df.where("vec_id < 0")).count() == 0
 
 
+def test_deep_trees_keep_near_copies_together():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(12_000, 64))
+    x[:4000] = rng.normal(size=64) + rng.normal(size=(4000, 64)) * 0.127
+    x = (x / np.sqrt((x * x).sum(1))[:, None]).astype(np.float32)
+    row, cell = treeforest.Trees(x, 12, 5).cells(x, np.full(len(x), 12))
+    of = [set() for _ in x]
+    for r, c in zip(row.tolist(), cell.tolist(), strict=True):
+        of[r].add(c)
+    pairs = [(i, j) for i, j in rng.integers(0, 4000, (5000, 2)).tolist() if i != j and x[i] @ x[j] >= 0.98]
+    assert len(pairs) > 1000 and np.mean([bool(of[i] & of[j]) for i, j in pairs]) >= 0.98
+    assert len(set(cell[np.isin(row, np.arange(4000, 12_000))].tolist())) > 1000
+
+
 @pytest.mark.parametrize(("words", "percent", "paired", "block"), [(3, 90, 32, 6 << 20), (5, 80, 4, 4000)])
 def test_jaccard_join(docs, none, monkeypatch, words, percent, paired, block):
     monkeypatch.setattr(jaccard, "PAIRED_LIST", paired)
