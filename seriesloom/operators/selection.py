@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from seriesloom.operators.base import TimeSeriesTransformer
 from seriesloom.series import Series, col, known
 
 METHODS = ("pearson", "f_regression", "mutual_info", "distance_corr")
-#: Rows on which measures that compare all pairs of rows are taken.
+#: Rows on which compare_feature_selection_methods takes the measures that compare rows, as the reference does.
 PAIR_ROWS = 1000
 
 
@@ -77,16 +78,82 @@ class MissingValueSelector(_Selector):
         self.selected_features_ = kept or ranked({c: -(v or 0.0) for c, v in self.ratios_.items()})[:1]
 
 
+def _distance_means(v: np.ndarray) -> np.ndarray:
+    """For each value its mean distance to all values, by sorting."""
+    n, order = len(v), np.argsort(v, kind="stable")
+    s = v[order]
+    before = np.cumsum(s) - s
+    i = np.arange(n)
+    out = np.empty(n)
+    out[order] = (s * i - before + (before[-1] + s[-1] - before - s) - s * (n - 1 - i)) / n
+    return out
+
+
+def _mean_product_of_distances(x: np.ndarray, y: np.ndarray) -> float:
+    """Mean of |x_i - x_j| |y_i - y_j| over all i and j: sums over the rows before a row in x and below it in y, by merging."""
+    n, order = len(x), np.argsort(x, kind="stable")
+    x, y = x[order], y[order]
+    parts = np.stack([np.ones(n), x, y, x * y])
+    lower, by_y, width = np.zeros((4, n)), np.argsort(y, kind="stable"), 1
+    while width < n:
+        rows = by_y[np.argsort(by_y // (2 * width), kind="stable")]
+        left = rows // width % 2 == 0
+        sums = np.cumsum(np.where(left, parts[:, rows], 0), axis=1)
+        start = rows // (2 * width) * (2 * width)
+        sums -= np.where(start > 0, sums[:, np.maximum(start - 1, 0)], 0)
+        lower[:, rows[~left]] += sums[:, ~left]
+        width *= 2
+    c, sx, sy, sxy = lower
+    agreeing = float((x * y * c - x * sy - y * sx + sxy).sum())
+    every = n * float((x * y).sum()) - float(x.sum()) * float(y.sum())
+    return 2 * (2 * agreeing - every) / n / n
+
+
 def distance_correlation(x: np.ndarray, y: np.ndarray) -> float:
-    """Székely and others (2007), 0 where either does not vary."""
+    """Székely and others (2007), 0 where either does not vary; in n log(n)**2 time and memory in proportion to n."""
+    x, y = np.asarray(x, float), np.asarray(y, float)
+    if not len(x) or np.ptp(x) == 0 or np.ptp(y) == 0:
+        return 0.0
+    x, y = ((v - v.mean()) / v.std() for v in (x, y))
+    a, b = _distance_means(x), _distance_means(y)
+    va, vb = (2 * v.var() - 2 * (m * m).mean() + m.mean() ** 2 for v, m in ((x, a), (y, b)))
+    both = _mean_product_of_distances(x, y) - 2 * (a * b).mean() + a.mean() * b.mean()
+    return float(np.sqrt(max(both, 0) / np.sqrt(va * vb))) if va > 0 and vb > 0 else 0.0
 
-    def centred(v: np.ndarray) -> np.ndarray:
-        d = np.abs(v[:, None] - v[None, :])
-        return d - d.mean(0) - d.mean(1)[:, None] + d.mean()
 
-    a, b = centred(np.asarray(x, float)), centred(np.asarray(y, float))
-    va, vb = (a * a).mean(), (b * b).mean()
-    return float(np.sqrt(max((a * b).mean(), 0) / np.sqrt(va * vb))) if va > 0 and vb > 0 else 0.0
+def _neighbour_radius(x: np.ndarray, y: np.ndarray, k: int, cell: int = 64) -> np.ndarray:
+    """Distance of each row to its k-th nearest other, the larger of both differences.
+
+    Rows lie in strips by x and in cells of a strip by y; the k-th nearest of a row's own cell bounds what is looked at.
+    """
+    n = len(x)
+    strip = max(cell, int(np.ceil(np.sqrt(n * cell))))
+    order = np.argsort(x, kind="stable")
+    strips = [s[np.argsort(y[s], kind="stable")] for s in (order[a : a + strip] for a in range(0, n, strip))]
+    if len(strips) > 1 and len(strips[-1]) <= k:
+        last = np.concatenate(strips[-2:])
+        strips[-2:] = [last[np.argsort(y[last], kind="stable")]]
+    lows, highs, ys = np.array([x[s].min() for s in strips]), np.array([x[s].max() for s in strips]), [y[s] for s in strips]
+    out = np.empty(n)
+
+    def kth(rows: np.ndarray, others: np.ndarray) -> np.ndarray:
+        # the row itself is among the others, at distance 0
+        d = np.maximum(np.abs(x[rows][:, None] - x[others]), np.abs(y[rows][:, None] - y[others]))
+        return np.partition(d, k, axis=1)[:, k]
+
+    for s in strips:
+        for a in range(0, len(s), cell):
+            rows = s[a : a + cell]
+            near = s[max(0, min(a, len(s) - cell)) : a + cell]
+            reach = float(kth(rows, near).max()) * (1 + 1e-9)
+            x0, x1, y0, y1 = x[rows].min() - reach, x[rows].max() + reach, y[rows].min() - reach, y[rows].max() + reach
+            others = [strips[j][np.searchsorted(ys[j], y0) : np.searchsorted(ys[j], y1, side="right")] for j in np.flatnonzero((lows <= x1) & (highs >= x0))]
+            others = np.concatenate(others)
+            others = others[(x[others] >= x0) & (x[others] <= x1)]
+            step = max(1, (1 << 22) // len(others))
+            for at in range(0, len(rows), step):
+                out[rows[at : at + step]] = kth(rows[at : at + step], others)
+    return out
 
 
 def mutual_information(x: np.ndarray, y: np.ndarray, k: int = 3) -> float:
@@ -95,17 +162,23 @@ def mutual_information(x: np.ndarray, y: np.ndarray, k: int = 3) -> float:
     if n <= k + 1:
         return 0.0
     scale = lambda v: (v - v.mean()) / (v.std() or 1.0) + np.random.default_rng(0).normal(0, 1e-10, n)
-    dx, dy = (np.abs(v[:, None] - v[None, :]) for v in (scale(np.asarray(x, float)), scale(np.asarray(y, float))))
-    both = np.maximum(dx, dy)
-    np.fill_diagonal(both, np.inf)
-    radius = np.partition(both, k - 1, axis=1)[:, k - 1]
+    x, y = scale(np.asarray(x, float)), scale(np.asarray(y, float))
+    radius = _neighbour_radius(x, y, k)
     digamma = np.concatenate([[0.0], -0.57721566490153286 + np.concatenate([[0.0], np.cumsum(1 / np.arange(1, n + 1))])])
-    nx, ny = ((d < radius[:, None]).sum(1) - 1 for d in (dx, dy))
-    return max(0.0, float(digamma[k] + digamma[n] - np.mean(digamma[nx + 1] + digamma[ny + 1])))
+
+    def nearer(v: np.ndarray) -> np.ndarray:
+        s = np.sort(v)
+        r = radius - 4 * np.spacing(np.abs(v) + radius)
+        return np.maximum(np.searchsorted(s, v + r, side="right") - np.searchsorted(s, v - r, side="left") - 1, 0)
+
+    return max(0.0, float(digamma[k] + digamma[n] - np.mean(digamma[nearer(x) + 1] + digamma[nearer(y) + 1])))
 
 
-def association(df: DataFrame, features: list[str], target: str, method: str, order: list[str]) -> dict[str, float | None]:
-    """A score for each feature. pearson and f_regression are one aggregation over all rows; the other two compare pairs of rows of a sample of PAIR_ROWS."""
+def association(df: DataFrame, features: list[str], target: str, method: str, order: list[str], sample: int | None = None) -> dict[str, float | None]:
+    """A score for each feature, over all rows; mutual_info and distance_corr on a sample of so many rows where one is asked for.
+
+    pearson and f_regression are one aggregation; the other two compare rows, all those of a feature in one task.
+    """
     y = known(col(target))
     rows = df.where(y.isNotNull())
     if method in ("pearson", "f_regression"):
@@ -116,9 +189,17 @@ def association(df: DataFrame, features: list[str], target: str, method: str, or
         return {c: r * r / max(1 - r * r, 1e-15) * (row["n"] - 2) if (r := row[f"r{i}"]) is not None else 0.0 for i, c in enumerate(features)}
     if method not in METHODS:
         raise TimeSeriesError(f"unknown method {method}; known: {METHODS}")
-    sample = by_hash(rows, order, PAIR_ROWS).select(*[F.coalesce(known(col(c)), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(features)], y.alias("y")).toPandas()
     f = distance_correlation if method == "distance_corr" else mutual_information
-    return {c: f(sample[f"x{i}"].to_numpy(), sample["y"].to_numpy()) if len(sample) > 2 else None for i, c in enumerate(features)}
+
+    def score(keys, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["x", "y"])
+        return pd.DataFrame({"i": [keys[0]], "score": [f(pdf["x"].to_numpy(), pdf["y"].to_numpy()) if len(pdf) > 2 else None]})
+
+    chosen = rows if sample is None else by_hash(rows, order, sample)
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.coalesce(known(col(c)), F.lit(0.0)).cast("double").alias("x")) for i, c in enumerate(features)])
+    long = chosen.select(F.explode(pairs).alias("p"), y.cast("double").alias("y")).select("p.i", "p.x", "y")
+    found = {r["i"]: r["score"] for r in long.groupBy("i").applyInPandas(score, "i int, score double").collect()}
+    return {c: found.get(i) for i, c in enumerate(features)}
 
 
 def ridge(df: DataFrame, features: list[str], target: str, alpha: float = 1.0) -> tuple[dict[str, float], float]:
@@ -257,7 +338,7 @@ class CombinedFeatureSelector(_Selector):
 
 
 def compare_feature_selection_methods(df: DataFrame, features: list[str], target: str, order: list[str], methods: list[str] | None = None, top_k: int = 20) -> dict[str, list[str]]:
-    return {m: ranked(association(df, features, target, m, order))[:top_k] for m in methods or ["pearson", "distance_corr"]}
+    return {m: ranked(association(df, features, target, m, order, PAIR_ROWS))[:top_k] for m in methods or ["pearson", "distance_corr"]}
 
 
 def analyze_feature_intersection(sets: dict[str, list[str]]) -> list[tuple[str, str, int, float]]:

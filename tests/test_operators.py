@@ -131,6 +131,34 @@ def test_meta_features_give_one_row_a_series(spark):
     assert sorted(out["k"]) == ["a", "b"] and out["acf_24"].gt(0.5).all() and out["hurst_exponent"].notna().all()
 
 
+def plain_distance_correlation(x, y):
+    centred = lambda d: d - d.mean(0) - d.mean(1)[:, None] + d.mean()
+    a, b = (centred(np.abs(v[:, None] - v[None, :])) for v in (x, y))
+    return np.sqrt((a * b).mean() / np.sqrt((a * a).mean() * (b * b).mean()))
+
+
+def plain_mutual_information(x, y, k=3):
+    n = len(x)
+    dx, dy = (np.abs(v[:, None] - v[None, :]) for v in ((v - v.mean()) / v.std() + np.random.default_rng(0).normal(0, 1e-10, n) for v in (x, y)))
+    both = np.maximum(dx, dy) + np.diag([np.inf] * n)
+    radius = np.sort(both, axis=1)[:, k - 1]
+    psi = lambda m: np.concatenate([[0.0], np.cumsum(1 / np.arange(1, n + 1))])[m - 1] - 0.57721566490153286
+    return max(0.0, psi(k) + psi(n) - np.mean([psi((d < radius[:, None]).sum(1)) for d in (dx, dy)]) * 2)
+
+
+def test_measures_of_pairs_use_all_rows(spark):
+    rng = np.random.default_rng(8)
+    x, e = np.round(rng.normal(size=1500), 1), rng.normal(size=1500)
+    y = x * x + 0.3 * e
+    rows = [(i, float(x[i]), 0.0 if i % 3 else float(e[i]), float(y[i])) for i in range(1500)]
+    df = spark.createDataFrame(rows, "ts int, a double, b double, y double")
+    for method, plain in (("distance_corr", plain_distance_correlation), ("mutual_info", plain_mutual_information)):
+        got = selection.association(df, ["a", "b"], "y", method, ["ts"])
+        for c, i in (("a", 1), ("b", 2)):
+            v = np.array(sorted((r[i], r[3]) for r in rows))
+            assert got[c] == pytest.approx(plain(v[:, 0], v[:, 1]), abs=1e-8)
+
+
 def test_selectors(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(300, 3))
