@@ -19,7 +19,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps until nothing changes. Each round is a table in the shared folder, which
     cuts the lineage; only two sums of a round reach the driver. Edges with a null end are ignored, loops give their end
-    as a component of its own.
+    as a component of its own. Raises when MOST_ROUNDS rounds do not suffice.
     """
     a, b = edges.columns[:2]
     pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).dropna()
@@ -38,4 +38,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = stored(small.union(least.select("u", "m")).distinct(), "links")
+    else:
+        if _sums(now) != before:
+            raise RuntimeError(f"components still changed after {MOST_ROUNDS} rounds")
     return now.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))

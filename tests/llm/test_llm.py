@@ -281,6 +281,12 @@ def test_components(spark):
     assert got == brute.roots(nodes, links)
 
 
+def test_components_raise_when_rounds_run_out(spark, monkeypatch):
+    monkeypatch.setattr("seriesloom.llm.components.MOST_ROUNDS", 1)
+    with pytest.raises(RuntimeError):
+        components(spark.createDataFrame([(i, i + 1) for i in range(30)], "a long, b long"))
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
