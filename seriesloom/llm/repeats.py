@@ -17,12 +17,12 @@ from seriesloom.llm.shingles import _BYTE, POWERS, U, mixed
 #: Bytes of the string whose least hash in a window is the window's anchor.
 ANCHOR = 64
 #: Distinct surroundings of an anchor above which its windows are counted one by one instead of sorted in a task.
-CROWDED = 20_000
+CROWDED = 50_000
 #: Bits of the bitmaps that keep back anchors which occur once, and documents without repeats: 4 MB and 512 KB.
 ANCHOR_BITS, DOCUMENT_BITS = 25, 22
 #: A text is looked through in pieces of so many bytes.
 PIECE = 1 << 19
-ANCHORS = "anchor long, seg long, did long, dkey long, pos int, before int, after int"
+ANCHORS = "anchor long, seg binary, did long, dkey long, pos int, before int, after int"
 
 
 def anchors(data: bytes, length: int) -> np.ndarray:
@@ -70,20 +70,28 @@ def keyed(df: DataFrame) -> DataFrame:
     return d.select("doc_id", "text", F.coalesce("doc_id", F.lit(0)).alias("did"), F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text").alias("dkey"))
 
 
+def digest(data: bytes, before: int = 0) -> bytes:
+    """128 bits that tell strings apart; before: the place of the anchor in them."""
+    return hashlib.blake2b(data, digest_size=16, salt=before.to_bytes(8, "little")).digest()
+
+
 def _find(docs: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list[np.ndarray]] = []
+            numbers: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(6)]
+            segs: list[bytes] = []
             for text, did, dkey in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = text.encode()
                 if len(data) < length:
                     continue
                 pos, sums = anchors(data, length), _sums(np.frombuffer(data, np.uint8))
                 before, after = np.minimum(pos, length - ANCHOR), np.minimum(len(data) - pos, length)
-                seg = _grams(sums, pos - before, pos + after) ^ mixed(before.astype(U) + U(1))
-                out.append([_grams(sums, pos, pos + ANCHOR).view(np.int64), seg.view(np.int64), np.full(len(pos), did), np.full(len(pos), dkey), pos, before, after])
-            columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64 if i < 4 else np.int32)) for i, c in enumerate(columns)], names=[x.split()[0] for x in ANCHORS.split(", ")])
+                segs += [digest(data[p - x : p + y], x) for p, x, y in zip(pos.tolist(), before.tolist(), after.tolist(), strict=True)]
+                for column, new in zip(numbers, (_grams(sums, pos, pos + ANCHOR).view(np.int64), np.full(len(pos), did), np.full(len(pos), dkey), pos, before, after), strict=True):
+                    column.append(new)
+            anchor, *rest = (np.concatenate(c) for c in numbers)
+            columns = [pa.array(anchor), pa.array(segs, pa.binary()), *(pa.array(c.astype(np.int64 if i < 2 else np.int32)) for i, c in enumerate(rest))]
+            yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in ANCHORS.split(", ")])
 
     return docs.select("text", "did", "dkey").mapInArrow(run, ANCHORS)
 
@@ -124,25 +132,24 @@ def _order(group: np.ndarray, strings: np.ndarray, lengths: np.ndarray) -> np.nd
 
 
 def maximal(group: np.ndarray, behind: np.ndarray, n_behind: np.ndarray, ahead: np.ndarray, n_ahead: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, bytes before its anchor, bytes from it on) of the repeats of at least length around anchors of equal group.
+    """(row, bytes before its anchor, bytes from it on) that repeats of at least length around anchors of equal group cover.
 
     ahead: the suffixes that start at the anchors, cut at length; behind: what stands before them, backwards. The suffixes
     are sorted, and a stack scan of their common prefixes gives the interval tree: each interval is a right-maximal string
     with all its occurrences. In each, the occurrences are put in the order of what stands before them; each then shares
-    the longest extension to the left with a neighbour, and the extension ends where the bytes to the left differ. Rows
-    are unequal within a group.
+    the longest extension to the left with a neighbour, and the extension ends where the bytes to the left differ. All
+    repeats of a row hold its anchor, so what they cover is one run, which is given: a row at most. Rows are unequal
+    within a group.
     """
+    lefts, rights = np.full(len(group), -1, np.int64), np.full(len(group), -1, np.int64)
     rank = np.empty(len(group), np.int64)
     rank[_order(group, behind, n_behind)] = np.arange(len(group))
     order = _order(group, ahead, n_ahead)
     common = _shared(ahead[order[1:]], ahead[order[:-1]], np.minimum(n_ahead[order[1:]], n_ahead[order[:-1]]))
     common[group[order[1:]] != group[order[:-1]]] = -1
     tree = [x for x in intervals(common) if x[2] > 0]
-    if not tree:
-        return (np.zeros(0, np.int64),) * 3
-    first, last, deep = (np.array(c, np.int64) for c in zip(*tree, strict=True))
-    results, at = [], 0
-    sizes = last - first + 1
+    first, last, deep = np.array(tree, np.int64).reshape(-1, 3).T
+    at, sizes = 0, last - first + 1
     while at < len(tree):
         upto = max(at + 1, int(np.searchsorted(np.cumsum(sizes[at:]), 40_000)) + at)
         node = np.repeat(np.arange(at, upto), sizes[at:upto])
@@ -156,14 +163,16 @@ def maximal(group: np.ndarray, behind: np.ndarray, n_behind: np.ndarray, ahead:
         left[node[1:] != node[:-1]] = -1
         best = np.maximum(np.concatenate([[-1], left]), np.concatenate([left, [-1]])) if len(row) else np.zeros(0, np.int64)
         long = (best >= 0) & (best + depth >= length)
-        results.append((row[long], best[long], depth[long]))
+        np.maximum.at(lefts, row[long], best[long])
+        np.maximum.at(rights, row[long], depth[long])
         at = upto
-    return tuple(np.concatenate(c) for c in zip(*results, strict=True))
+    found = np.flatnonzero(rights >= 0)
+    return found, lefts[found], rights[found]
 
 
 def _surroundings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted, with the bytes around each anchor; each document's anchors are a list of its own."""
-    kind = "anchor long, seg long, pos int, before int, after int, crowded boolean, copies long"
+    kind = "anchor long, seg binary, pos int, before int, after int, crowded boolean, copies long"
     lists = wanted.groupBy("did", "dkey").agg(F.collect_list(F.struct(*[c.split()[0] for c in kind.split(", ")])).alias("of"))
     rows = docs.where(bitmap(wanted, "dkey", DOCUMENT_BITS)("dkey")).select("did", "dkey", "text").join(lists, ["did", "dkey"])
 
@@ -178,21 +187,21 @@ def _surroundings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     out = []
             yield _rows(out)
 
-    return rows.select("text", "of").mapInArrow(run, "anchor long, seg long, before int, crowded boolean, copies long, bytes binary")
+    return rows.select("text", "of").mapInArrow(run, "anchor long, seg binary, before int, crowded boolean, copies long, bytes binary")
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary()]
+    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.bool_(), pa.int64(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["anchor", "seg", "before", "crowded", "copies", "bytes"])
 
 
 def _sorted_out(rows: DataFrame, length: int, block: int = 2048) -> DataFrame:
-    """anchor, seg, lo, hi: strings around the anchor that another surrounding of it holds as well."""
+    """seg, lo, hi: the run around the anchor of strings that another surrounding of it holds as well."""
 
-    def found(anchor: np.ndarray, seg: np.ndarray, before: np.ndarray, data: list[bytes]) -> pa.RecordBatch:
+    def found(anchor: np.ndarray, seg: list[bytes], before: np.ndarray, data: list[bytes]) -> pa.RecordBatch:
         # a row that is repeated in the table comes once more
-        _, once = np.unique(np.stack([anchor, seg]), axis=1, return_index=True)
-        anchor, seg, before, data = anchor[once], seg[once], before[once], [data[i] for i in once]
+        once = np.array(sorted({(a, x): i for i, (a, x) in enumerate(zip(anchor.tolist(), seg, strict=True))}.values()), np.int64)
+        anchor, before, seg, data = anchor[once], before[once], [seg[i] for i in once], [data[i] for i in once]
         n = np.array([len(x) for x in data], np.int64)
         flat, ends = np.frombuffer(b"".join(data), np.uint8), np.cumsum(n)
         at = ends - n + before
@@ -205,7 +214,7 @@ def _sorted_out(rows: DataFrame, length: int, block: int = 2048) -> DataFrame:
         mask = steps[None, :] < before[:, None]
         behind[mask] = flat[(at[:, None] - 1 - steps[None, :])[mask]]
         row, left, right = maximal(anchor, behind, before, ahead, n_ahead, length)
-        return pa.RecordBatch.from_arrays([pa.array(anchor[row]), pa.array(seg[row]), pa.array(-left), pa.array(right)], names=["anchor", "seg", "lo", "hi"])
+        return pa.RecordBatch.from_arrays([pa.array([seg[i] for i in row], pa.binary()), pa.array(-left), pa.array(right)], names=["seg", "lo", "hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = [[], [], [], []]
@@ -222,36 +231,54 @@ def _sorted_out(rows: DataFrame, length: int, block: int = 2048) -> DataFrame:
                     cut = next((i for i in range(block, upto) if held[0][i] != held[0][i - 1]), upto)
                     upto = cut
                 part, held = [c[:upto] for c in held], [c[upto:] for c in held]
-                yield found(*(np.array(c, np.int64) for c in part[:3]), part[3])
+                yield found(np.array(part[0], np.int64), part[1], np.array(part[2], np.int64), part[3])
         if held[0]:
-            yield found(*(np.array(c, np.int64) for c in held[:3]), held[3])
+            yield found(np.array(held[0], np.int64), held[1], np.array(held[2], np.int64), held[3])
 
     dealt = rows.repartition(partitions(rows.sparkSession), "anchor").sortWithinPartitions("anchor")
-    return dealt.select("anchor", "seg", F.col("before").cast("long").alias("before"), "bytes").mapInArrow(run, "anchor long, seg long, lo long, hi long")
+    return dealt.select("anchor", "seg", F.col("before").cast("long").alias("before"), "bytes").mapInArrow(run, "seg binary, lo long, hi long")
 
 
 def _counted_out(rows: DataFrame, length: int) -> DataFrame:
-    """As _sorted_out, for anchors with too many surroundings for a task: each window is counted by its hash."""
+    """As _sorted_out, for anchors with too many surroundings for a task: their strings of length bytes are sorted by digest.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for anchor, seg, before, copies, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                sums = _sums(np.frombuffer(data, np.uint8))
-                starts = np.arange(0, len(data) - length + 1)
-                starts = starts[(starts <= before) & (starts + length >= before + ANCHOR)]
-                window = _grams(sums, starts, starts + length).view(np.int64)
-                k = len(starts)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, anchor)), pa.array(np.full(k, seg)), pa.array(starts - before), pa.array(window), pa.array(np.full(k, copies))], names=["anchor", "seg", "lo", "window", "copies"])
+    Equal strings then stand together, and a task streams through them. One shuffle, of 48 bytes a string.
+    """
 
-    each = rows.select("anchor", "seg", F.col("before").cast("long").alias("before"), "copies", "bytes").mapInArrow(run, "anchor long, seg long, lo long, window long, copies long")
-    twice = each.groupBy("anchor", "lo", "window").agg(F.sum("copies").alias("n")).where("n > 1")
-    return each.join(twice, ["anchor", "lo", "window"]).select("anchor", "seg", "lo", (F.col("lo") + length).alias("hi"))
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for seg, before, copies, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                starts = np.arange(max(0, before + ANCHOR - length), min(before, len(data) - length) + 1)
+                key = np.frombuffer(b"".join(digest(data[a : a + length], before - a) for a in starts.tolist()), np.int64)
+                own = np.tile(np.frombuffer(seg, np.int64), len(starts))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key[0::2], key[1::2], own[0::2], own[1::2], 2 * (starts - before) + (copies > 1))], names=["k1", "k2", "s1", "s2", "lo"])
+
+    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = np.zeros((5, 0), np.int64)
+        for batch in batches:
+            # the row before comes again, since it may be equal to this batch's first; a string told twice is one
+            rows = np.concatenate([last, np.stack([c.to_numpy() for c in batch.columns])], 1)
+            last = rows[:, -1:]
+            same = (rows[0, 1:] == rows[0, :-1]) & (rows[1, 1:] == rows[1, :-1])
+            hit = (rows[4] & 1).astype(bool)
+            hit[1:] |= same
+            hit[:-1] |= same
+            _, s1, s2, lo = rows[1:, hit]
+            lo >>= 1
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in np.stack([s1, s2], 1)], pa.binary()), pa.array(lo), pa.array(lo + length)], names=["seg", "lo", "hi"])
+
+    kind = "k1 long, k2 long, s1 long, s2 long, lo long"
+    each = rows.select("seg", F.col("before").cast("long").alias("before"), "copies", "bytes").mapInArrow(strings, kind)
+    dealt = each.repartition(partitions(rows.sparkSession), "k1").sortWithinPartitions("k1", "k2")
+    return dealt.mapInArrow(repeated, "seg binary, lo long, hi long")
 
 
 def occurrences(docs: DataFrame, length: int = 400, crowded: int = CROWDED) -> DataFrame:
-    """did, dkey, start, end of strings of at least length bytes that also start elsewhere; docs: from keyed().
+    """did, dkey, start, end: for each anchor, the run that strings around it of at least length bytes cover which also
+    start elsewhere; docs: from keyed().
 
-    Every byte that such a string of exactly length bytes covers is in one of them, and no other byte is.
+    Every byte that such a string of exactly length bytes covers is in a run, and no other byte is. There is at most one
+    row for each place of an anchor.
     """
     places = stored(_find(docs, length), "anchors")
     often = places.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
@@ -261,15 +288,16 @@ def occurrences(docs: DataFrame, length: int = 400, crowded: int = CROWDED) -> D
     per_anchor = distinct.groupBy("anchor").agg(F.sum("copies").alias("total"), F.count("*").alias("segs")).where("total > 1")
     wanted = stored(distinct.join(per_anchor, "anchor").select("anchor", "seg", "copies", "segs", "at.*", (F.col("segs") > crowded).alias("crowded")), "surroundings")
     # a surrounding that occurs twice is repeated as a whole
-    whole = wanted.where(f"copies > 1 and before + after >= {length}").select("anchor", "seg", (-F.col("before")).cast("long").alias("lo"), F.col("after").cast("long").alias("hi"))
+    whole = wanted.where(f"copies > 1 and before + after >= {length}").select("seg", (-F.col("before")).cast("long").alias("lo"), F.col("after").cast("long").alias("hi"))
     around = _surroundings(docs, wanted.where(f"segs > 1 and before + after >= {length}"))
     if wanted.where("crowded").limit(1).count():
         around = stored(around.dropDuplicates(["anchor", "seg"]), "bytes-around")
         parts = _sorted_out(around.where("not crowded"), length).union(_counted_out(around.where("crowded"), length))
     else:
         parts = _sorted_out(around, length)
-    found = whole.union(parts)
-    return places.join(found, ["anchor", "seg"]).select("did", "dkey", (F.col("pos") + F.col("lo")).alias("start"), (F.col("pos") + F.col("hi")).alias("end"))
+    # all strings of a surrounding hold its anchor, so that together they are one run; seg, a digest of its bytes, names it alone
+    found = whole.union(parts).groupBy("seg").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return places.join(found, "seg").select("did", "dkey", (F.col("pos") + F.col("lo")).alias("start"), (F.col("pos") + F.col("hi")).alias("end"))
 
 
 def _kept(spans: list[tuple[int, int]]) -> list[list[int]]:
@@ -288,8 +316,9 @@ def remove_repeats(df: DataFrame, length: int = 400, crowded: int = CROWDED) ->
     Each byte covered by a string of length bytes that also starts anywhere else, in this document or another, is removed;
     strings are judged on the input. Null texts count as empty; texts shorter than length lose nothing; equal rows lose
     all that lies in such strings. Rows with a null doc_id are documents too. Other columns are not read.
-    Strings of surroundings are compared byte by byte; equal surroundings (up to 2 * length bytes around an anchor) are
-    recognised by 64-bit hashes.
+    Strings around an anchor are compared byte by byte; equal surroundings (up to 2 * length bytes around an anchor), and the
+    strings of an anchor with more than `crowded` different surroundings, are recognised by 128-bit digests. The weaker
+    sums that choose anchors decide nothing but where strings are compared.
     """
     docs = keyed(df)
     lists = stored(occurrences(docs, length, crowded).groupBy("did", "dkey").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
@@ -317,4 +346,4 @@ def remove_repeats(df: DataFrame, length: int = 400, crowded: int = CROWDED) ->
 def op5_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(table(spark, sf_dir, "documents"))
     lost = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
-    return found.select("doc_id", "n_bytes", lost.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_bytes", lost.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), (F.size("removed") > 0).alias("has_repeats"))
