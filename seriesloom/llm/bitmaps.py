@@ -18,8 +18,8 @@ def _slots(keys: np.ndarray, bits: int) -> np.ndarray:
     return (mixed(keys.astype(np.int64).view(U)) >> U(64 - bits)).astype(np.int64)
 
 
-def bitmap(df: DataFrame, key: str, bits: int) -> Callable[[str], Column]:
-    """A filter that lets every key of df pass, and of other keys the fewer, the more bits there are: 2**bits, whatever the input.
+def bitmap_of(df: DataFrame, key: str, bits: int) -> Callable[[np.ndarray], np.ndarray]:
+    """A test that every key of df passes, and of other keys the fewer, the more bits there are: 2**bits, whatever the input.
 
     Parts of it are made on the executors; what reaches the driver and goes back has a fixed size.
     """
@@ -35,9 +35,15 @@ def bitmap(df: DataFrame, key: str, bits: int) -> Callable[[str], Column]:
     empty = bytes(1 << (PART - 3))
     packed = b"".join(found.get(i, empty) for i in range(1 << (bits - PART)))
 
-    def passes(k: pd.Series) -> pd.Series:
-        at = _slots(k.to_numpy(np.int64), bits)
-        return pd.Series((np.frombuffer(packed, np.uint8)[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))
+    def passes(k: np.ndarray) -> np.ndarray:
+        at = _slots(k, bits)
+        return (np.frombuffer(packed, np.uint8)[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+    return passes
 
-    test = F.pandas_udf(passes, "boolean")
+
+def bitmap(df: DataFrame, key: str, bits: int) -> Callable[[str], Column]:
+    """bitmap_of as a filter of a column."""
+    passes = bitmap_of(df, key, bits)
+    test = F.pandas_udf(lambda k: pd.Series(passes(k.to_numpy(np.int64))), "boolean")
     return lambda name: test(F.col(name))

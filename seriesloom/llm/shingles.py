@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 U = np.uint64
 _rng = np.random.default_rng(7)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | U(1)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _ODD = int(_rng.integers(2**61, 2**62)) * 2 + 1
 
 
@@ -39,17 +37,23 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(33))
 
 
+class _Words(dict):
+    """Hashes of words, each taken when first asked for and kept for a while."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 1 << 17:
+            self.clear()
+        found = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        return found
+
+
+_WORDS = _Words()
+
+
 def words(text: str | None) -> np.ndarray:
-    """A hash for each word: a run without ASCII white space, with A-Z in lower case."""
-    b = _LOWER[np.frombuffer((text or "").encode(), np.uint8)]
-    inside = ~_SPACE[b]
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).view(np.int8)))
-    starts, ends = edges[0::2], edges[1::2]
-    if not len(starts):
-        return np.zeros(0, U)
-    up, down = POWERS.to(len(b) + 1)
-    sums = np.concatenate([np.zeros(1, U), np.cumsum(_BYTE[b] * up[: len(b)], dtype=U)])
-    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U))
+    """A hash for each word: a run without ASCII white space, with A-Z in lower case (what lower and split do on bytes)."""
+    found = (text or "").encode().lower().split()
+    return np.fromiter(map(_WORDS.__getitem__, found), U, len(found))
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
