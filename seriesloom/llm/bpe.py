@@ -4,18 +4,21 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import piece_pattern, ranks, table, vocabulary
+from seriesloom.llm.common import piece_pattern, ranks, returned, table, vocabulary
 from seriesloom.llm.pieces import Splitter
 
 #: A row of a piece holds position << 16 | token; a candidate pair holds rank << 40 | position << 20 | next position.
 LONGEST_PIECE = 256
+#: Rows that one recursive query may make, at most: half the square of each piece's length.
+MOST_ROWS = 600_000
 
 CONTRACT = """
 WITH RECURSIVE state(step, word, cell) AS (
@@ -47,10 +50,11 @@ class DuckBpe:
 
     A piece that is itself a token is that token. Any other piece up to LONGEST_PIECE bytes is contracted by the
     recursive query. Longer pieces, whose number of intermediate rows would grow with the square of their length,
-    take the same contractions from a heap.
+    take the same contractions from a heap. So many pieces are contracted at once that the rows of all steps stay below
+    MOST_ROWS; nothing is written to disk.
     """
 
-    def __init__(self, path: str, pattern: str, memory: str = "350MB", bound: int = 400_000):
+    def __init__(self, path: str, pattern: str, memory: str = "200MB", bound: int = 150_000):
         import duckdb
 
         self.ranks, self.split = ranks(path), Splitter(pattern)
@@ -60,8 +64,8 @@ class DuckBpe:
         if (self.bytes_of < 0).any() or max(self.ranks.values()) > 65535:
             raise ValueError("a byte-level vocabulary of at most 65,536 ids is needed")
         pairs = [((a << 16) + b, r) for t, r in self.ranks.items() for k in range(1, len(t)) if (a := self.ranks.get(t[:k])) is not None and (b := self.ranks.get(t[k:])) is not None]
-        self.merge_of = dict(pairs)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": memory})
+        self.token = {r: t for t, r in self.ranks.items()}
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": memory, "temp_directory": ""})
         self._load("merges", pa.table({"both": np.array([p[0] for p in pairs], np.int64), "rank": np.array([p[1] for p in pairs], np.int32)}))
         self._load("tokens", pa.table({"token": np.array(list(self.ranks.values()), np.int32), "hex": [t.hex() for t in self.ranks]}))
         self.known, self.bound = {}, bound
@@ -84,9 +88,13 @@ class DuckBpe:
             else:
                 todo.append(i)
                 raw.append(data)
-        for at in range(0, len(raw), 50_000):
-            for i, ids in zip(todo[at : at + 50_000], self._contract(raw[at : at + 50_000]), strict=True):
+        rows = np.cumsum([len(x) * (len(x) + 1) // 2 for x in raw])
+        at = 0
+        while at < len(raw):
+            upto = max(at + 1, int(np.searchsorted(rows, MOST_ROWS + (rows[at - 1] if at else 0), side="right")))
+            for i, ids in zip(todo[at:upto], self._contract(raw[at:upto]), strict=True):
                 out[i] = ids
+            at = upto
         return out
 
     def _contract(self, words: list[bytes]) -> list[bytes]:
@@ -103,7 +111,8 @@ class DuckBpe:
     def _heap(self, data: bytes) -> bytes:
         ids, n = self.bytes_of[np.frombuffer(data, np.uint8)].tolist(), len(data)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := self.merge_of.get((ids[i] << 16) + ids[i + 1])) is not None]
+        rank = lambda i, j: self.ranks.get(self.token[ids[i]] + self.token[ids[j]])
+        queue = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := rank(i, i + 1)) is not None]
         heapq.heapify(queue)
         while queue:
             r, i, a, b = heapq.heappop(queue)
@@ -114,7 +123,7 @@ class DuckBpe:
             if after[i] < n:
                 before[after[i]] = i
             for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y < n and (m := self.merge_of.get((ids[x] << 16) + ids[y])) is not None:
+                if x >= 0 and y < n and (m := rank(x, y)) is not None:
                     heapq.heappush(queue, (m, x, ids[x], ids[y]))
         return np.array([x for x in ids if x >= 0], "<u4").tobytes()
 
@@ -141,14 +150,27 @@ class DuckBpe:
 
 def by_size(texts: list[str], bound: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Slices of the list that hold about bound characters each; a longer text makes a slice of its own."""
-    at = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= bound:
-            yield at, i + 1
-            at, size = i + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
+    return _slices(map(len, texts), bound)
+
+
+def _slices(sizes: Iterable[int], bound: int) -> Iterator[tuple[int, int]]:
+    at, upto, held = 0, 0, 0
+    for size in sizes:
+        upto, held = upto + 1, held + size
+        if held >= bound:
+            yield at, upto
+            at, held = upto, 0
+    if at < upto:
+        yield at, upto
+
+
+def slices(batches: Iterable[pa.RecordBatch], text: str, bound: int = 500_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Parts of the batches that hold about bound bytes of text each, and their texts, null ones as empty: no more is
+    in Python at a time."""
+    for batch in batches:
+        column = batch.column(batch.schema.get_field_index(text))
+        for a, b in _slices(pc.fill_null(pc.binary_length(column), 0).to_pylist(), bound):
+            yield batch.slice(a, b - a), [t or "" for t in column.slice(a, b - a).to_pylist()]
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "token_ids", decoded: str | None = "decoded") -> DataFrame:
@@ -169,17 +191,17 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = None
-        for batch in batches:
-            texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+        for rows, texts in slices(batches, text):
             bpe = bpe or DuckBpe(path, pattern)
-            for a, b in by_size(texts):
-                got = bpe.encode(texts[a:b])
-                lengths = np.cumsum([0, *map(len, got)]).astype(np.int32)
-                columns = [batch.column(batch.schema.get_field_index(n)).slice(a, b - a) for n in names]
-                columns.append(pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(got).astype(np.int32) if got else [], pa.int32())))
-                if decoded:
-                    columns.append(pa.array(bpe.decode(got), pa.binary()))
-                yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
+            got = bpe.encode(texts)
+            lengths = np.cumsum([0, *map(len, got)]).astype(np.int32)
+            columns = [rows.column(rows.schema.get_field_index(n)) for n in names]
+            columns.append(pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(got).astype(np.int32) if got else [], pa.int32())))
+            if decoded:
+                columns.append(pa.array(bpe.decode(got), pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
+        bpe = None
+        returned()
 
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c in names or c == text]).mapInArrow(run, schema)
 
