@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import base64
+import ctypes
 import functools
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,25 +16,48 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, from spark.checkpoint.dir.
 
-    Only where the session names none (tests on one machine), a temporary folder is set.
+    Only where the session names none and runs on one machine (tests), a temporary folder is set.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         jsc = spark.sparkContext._jsc.sc()
         if jsc.getCheckpointDir().isDefined():
             named = jsc.getCheckpointDir().get()
-        else:
+        elif jsc.isLocal():
             named = tempfile.mkdtemp(prefix="seriesloom-")
             spark.sparkContext.setCheckpointDir(named)
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return named.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which is deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    file_system, at = _file_system(spark, path)
+    file_system.deleteOnExit(at)
+    return path
+
+
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the shared folder and read back: a lost executor costs no recomputation of it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def dropped(table: DataFrame) -> None:
+    """Deletes what stored() wrote, when nothing will read it again."""
+    file_system, at = _file_system(table.sparkSession, table.stored_at)
+    file_system.delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +75,14 @@ def row_key(*cols: str) -> Column:
     return F.unhex(F.md5(F.concat(*[x for p in zip(lengths, parts, strict=True) for x in (p[0], F.lit(b":"), p[1])])))
 
 
+def returned() -> None:
+    """Gives memory that a task of this Python worker no longer needs back to the machine; the worker lives on for others."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 @functools.cache
 def ranks(path: str) -> dict[bytes, int]:
     """A vocabulary file of base64 tokens and ranks."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import stored
+from seriesloom.llm.common import dropped, stored
 
 MOST_ROUNDS = 100
 
@@ -18,7 +18,7 @@ def components(edges: DataFrame) -> DataFrame:
     """id and component (the least id reachable) of every end of an edge; edges: two long columns, in any direction.
 
     Alternates large-star and small-star steps until nothing changes. Each round is a table in the shared folder, which
-    cuts the lineage; only two sums of a round reach the driver. Edges with a null end are ignored, loops give their end
+    cuts the lineage, and the round before it is deleted; only two sums of a round reach the driver. Edges with a null end are ignored, loops give their end
     as a component of its own. Raises when MOST_ROUNDS rounds do not suffice.
     """
     a, b = edges.columns[:2]
@@ -37,7 +37,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.union(now.where("u = v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = stored(small.union(least.select("u", "m")).distinct(), "links")
+        last, now = now, stored(small.union(least.select("u", "m")).distinct(), "links")
+        dropped(last)
     else:
         if _sums(now) != before:
             raise RuntimeError(f"components still changed after {MOST_ROUNDS} rounds")

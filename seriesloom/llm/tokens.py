@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import functools
 import os
-import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -16,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seriesloom.llm.bpe import by_size
-from seriesloom.llm.common import partitions, piece_pattern, shared_dir, table, vocabulary
+from seriesloom.llm.common import partitions, piece_pattern, scratch, table, vocabulary
 from seriesloom.llm.pieces import Splitter
 
 SCHEMA = "part int, local_start long, doc_id long, n_tokens long, token_ids array<int>"
@@ -140,6 +139,6 @@ def checksums(tokens: DataFrame) -> DataFrame:
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    path = scratch(spark, "tokens")
     write(table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"), piece_pattern())
     return checksums(read(spark, path))
