@@ -198,7 +198,11 @@ def time2vec_fixed(spark, sf_dir):
     return plain(t.fit_transform(events(spark, sf_dir), EVENTS), "event_id")
 
 
-@query()
+@query(f"""WITH e AS (SELECT event_id, value::DOUBLE AS y, row_number() OVER ({W}) AS p, epoch(date_trunc('second', ts)) AS s {E}),
+z AS (SELECT *, (s - avg(s) OVER ()) / stddev_pop(s) OVER () AS t FROM e),
+l AS (SELECT regr_slope(y, p) AS b, regr_intercept(y, p) AS a, regr_slope(y, t) AS w, regr_intercept(y, t) AS c FROM z),
+q AS (SELECT regr_intercept(y - a - b * p, sin(t * 2 * pi() / 24)) AS i1, regr_intercept(y - a - b * p, sin(t * 2 * pi() / 168)) AS i2, regr_intercept(y - a - b * p, sin(t * 2 * pi() / 720)) AS i3 FROM z, l)
+SELECT event_id, round(t * w + c, 6) AS time_t2v_0, round(sin(t * 2 * pi() / 24 + i1), 6) AS time_t2v_1, round(sin(t * 2 * pi() / 168 + i2), 6) AS time_t2v_2, round(sin(t * 2 * pi() / 720 + i3), 6) AS time_t2v_3 FROM z, l, q""")
 def time2vec_fitted(spark, sf_dir):
     t = TE.TimeEncodingTransformer("time2vec", "ts", time2vec_dim=4)
     return plain(t.fit_transform(events(spark, sf_dir), EVENTS, "value"), "event_id")
@@ -455,6 +459,13 @@ def pearson_ranking(spark, sf_dir):
     return plain(spark.createDataFrame([(c, float(s[c]), i + 1) for i, c in enumerate(selection.ranked(s))], "feature string, score double, rank long"))
 
 
+@query(f"SELECT unnest(['correlation', 'correlation_top_1', 'variance']) AS method, unnest([round((abs(corr(quantity, extendedprice)) + abs(corr(discount, extendedprice)) + abs(corr(tax, extendedprice))) / 3, 6), round(greatest(abs(corr(quantity, extendedprice)), abs(corr(discount, extendedprice)), abs(corr(tax, extendedprice))), 6), round((var_samp(quantity) + var_samp(discount) + var_samp(tax)) / 3, 4)]) AS score FROM {DL}")
+def feature_quality(spark, sf_dir):
+    df, names = lines(spark, sf_dir), ["quantity", "discount", "tax"]
+    of = lambda method, top_k, digits: round(selection.feature_quality_score(df, names, "extendedprice", ["day"], method, top_k), digits)
+    return spark.createDataFrame([("correlation", of("correlation", None, 6)), ("correlation_top_1", of("correlation", 1, 6)), ("variance", of("variance", None, 4))], "method string, score double")
+
+
 @query(f"SELECT feature, round(r * r / (1 - r * r) * (k - 2), 2) AS score FROM (SELECT unnest(['quantity', 'discount', 'tax']) AS feature, unnest([corr(quantity, n), corr(discount, n), corr(tax, n)]) AS r, count(*) AS k FROM {DL} GROUP BY ALL)".replace("GROUP BY ALL", ""))
 def f_regression_scores(spark, sf_dir):
     s = selection.association(lines(spark, sf_dir), ["quantity", "discount", "tax"], "n", "f_regression", ["day"])

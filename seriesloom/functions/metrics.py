@@ -109,8 +109,13 @@ SCORERS: dict[str, tuple[Callable[..., Column], bool]] = {
 }
 
 
-def get_scorer(name: str) -> tuple[Callable[..., Column], bool]:
-    """A metric over columns, and whether more of it is better."""
-    if name not in SCORERS:
-        raise TimeSeriesError(f"unknown scorer {name}; known: {sorted(SCORERS)}")
-    return SCORERS[name]
+#: Metrics that need the order of rows, and so a frame and its series.
+SERIES_SCORERS: dict[str, tuple[Callable[..., DataFrame], bool]] = {"mase": (mase, False), "directional_accuracy": (directional_accuracy, True)}
+
+
+def get_scorer(name: str) -> tuple[Callable, bool]:
+    """A metric, and whether more of it is better: over columns (y, p), or for SERIES_SCORERS over a frame (df, series, y, p)."""
+    known_ = SCORERS | SERIES_SCORERS
+    if name not in known_:
+        raise TimeSeriesError(f"unknown scorer {name}; known: {sorted(known_)}")
+    return known_[name]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seriesloom.errors import TimeSeriesError
+from seriesloom.operators.missing import fill_for_features
 from seriesloom.operators.spectral import acf, interpolated, per_series
 from seriesloom.series import Series, col, known
 
@@ -266,9 +267,14 @@ def landmarking(df: DataFrame, series: Series, value: str, season: int = 24) ->
 
 
 class MetaFeatureExtractor:
-    """One row for each series with the features of the chosen categories, joined on the key."""
+    """One row for each series with the features of the chosen categories, joined on the key.
 
-    def __init__(self, categories: str | list[str] = "all"):
+    With a fill_method (linear, forward, backward, none), missing values are filled first, and what is left by the mean, for
+    all features but the simple ones, which count what is missing.
+    """
+
+    def __init__(self, categories: str | list[str] = "all", fill_method: str | None = None):
+        self.fill_method = fill_method
         self.categories = list(CATEGORIES) if categories == "all" else list(categories)
         if unknown := [c for c in self.categories if c not in CATEGORIES]:
             raise TimeSeriesError(f"unknown categories {unknown}; known: {CATEGORIES}")
@@ -278,9 +284,9 @@ class MetaFeatureExtractor:
             "simple": [simple], "statistical": [statistical, tests], "spectral": [autocorrelations, spectrum],
             "complexity": [density_entropy, permutation_entropy, hurst, nonlinearity], "landmarking": [landmarking],
         }
-        out = None
+        out, full = None, df if self.fill_method is None else fill_for_features(df, series, value, self.fill_method)
         for f in [f for c in self.categories for f in parts[c]]:
-            found = f(df, series, value)
+            found = f(df if f is simple else full, series, value)
             if out is None:
                 out = found
             elif series.key:

@@ -337,6 +337,30 @@ class CombinedFeatureSelector(_Selector):
         return spark.createDataFrame(rows, "stage string, n_before int, n_after int, removed_features array<string>")
 
 
+def feature_quality_score(df: DataFrame, features: list[str], target: str, order: list[str], method: str = "correlation", top_k: int | None = None) -> float | None:
+    """The mean over the best top_k features (all, if None) of |correlation| with the target, mutual information, or variance.
+
+    Features without a score (constant or without values) are left out; without any there is none.
+    """
+    if method == "variance":
+        scores = df.agg(*[F.var_samp(known(col(c))).alias(c) for c in features]).head().asDict()
+    elif method in ("correlation", "mutual_info"):
+        scores = association(df, features, target, "pearson" if method == "correlation" else method, order)
+    else:
+        raise TimeSeriesError(f"unknown method {method}")
+    values = sorted((abs(float(v)) for v in scores.values() if v is not None and v == v), reverse=True)[:top_k]
+    return sum(values) / len(values) if values else None
+
+
+def analyze_feature_selection(df: DataFrame, features: list[str], target: str, order: list[str], methods: list[str] | None = None, top_k: int = 20) -> dict:
+    """tops: the best top_k features by each method, over all rows; pairs: what each two methods share, and its Jaccard share;
+    correlations: of each method's features, a frame each."""
+    methods = list(methods or ["shap", "pearson", "f_regression", "mutual_info"])
+    scores = {m: linear_importance(df, features, target) if m == "shap" else association(df, features, target, m, order) for m in methods}
+    tops = {m: ranked(s)[:top_k] for m, s in scores.items()}
+    return {"tops": tops, "pairs": analyze_feature_intersection(tops), "correlations": {m: correlation_matrix(df, names) for m, names in tops.items()}}
+
+
 def compare_feature_selection_methods(df: DataFrame, features: list[str], target: str, order: list[str], methods: list[str] | None = None, top_k: int = 20) -> dict[str, list[str]]:
     return {m: ranked(association(df, features, target, m, order, PAIR_ROWS))[:top_k] for m in methods or ["pearson", "distance_corr"]}
 

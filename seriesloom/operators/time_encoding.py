@@ -190,12 +190,19 @@ class CalendarFeaturesTransformer(_OfTime):
         return {f"time.{f}": of[f] for f in self.wanted}
 
 
+#: Intervals of a calendar that are sent along with an expression, at most.
+MOST_INTERVALS = 10_000
+
+
 def holiday_distances(df: DataFrame, ts: str, intervals: DataFrame, most: int = 30) -> DataFrame:
     """df with in_interval, days_until and days_since the next and last of intervals (start, end: dates), both at most `most`.
 
-    The intervals are a small table of the calendar: some rows a year. They are read at the driver.
+    The intervals are a small table of the calendar: some rows a year. They are read at the driver; more than MOST_INTERVALS
+    are an error.
     """
-    rows = intervals.select(F.col("start").cast("date").alias("s"), F.col("end").cast("date").alias("e")).dropna().orderBy("s").limit(10_000).collect()
+    rows = intervals.select(F.col("start").cast("date").alias("s"), F.col("end").cast("date").alias("e")).dropna().orderBy("s").limit(MOST_INTERVALS + 1).collect()
+    if len(rows) > MOST_INTERVALS:
+        raise TimeSeriesError(f"more than {MOST_INTERVALS} intervals")
     day = F.to_date(col(ts))
     if not rows:
         return df.withColumns({"in_interval": F.lit(0), "days_until": F.lit(most), "days_since": F.lit(most)})

@@ -15,7 +15,7 @@ from seriesloom.errors import TimeSeriesError
 from seriesloom.functions.metrics import get_scorer
 from seriesloom.operators.base import TimeSeriesTransformer
 from seriesloom.operators.meta import MetaFeatureExtractor
-from seriesloom.operators.selection import CombinedFeatureSelector, ridge
+from seriesloom.operators.selection import CombinedFeatureSelector, analyze_feature_selection, ridge
 from seriesloom.operators.spectral import DWTTransformer, STLTransformer
 from seriesloom.operators.time_encoding import CalendarFeaturesTransformer, TimeEncodingTransformer
 from seriesloom.operators.validation import frequency
@@ -305,7 +305,40 @@ class AutoFeatureEngineer:
     def get_feature_names(self) -> list[str]:
         return list(self.feature_names_)
 
+    def analyze_feature_selection(self, df: DataFrame, methods: list[str] | None = None, top_k: int = 20) -> dict:
+        """As the function of that name, over the features of all steps; errors: the mean absolute error of a ridge model of
+        each method's features over three folds in order of time."""
+        s, names = self.pipeline_.series, self.pipeline_.get_feature_names_out()
+        wide = self.pipeline_.transform(df, [self.target_]).persist()
+        out = analyze_feature_selection(wide, names, self.target_, [*s.key, *s.order], methods, top_k)
+        out["errors"] = {m: -float(np.mean(cross_validated(wide, s, own, self.target_, n_splits=3))) for m, own in out["tops"].items()}
+        wide.unpersist()
+        return out
+
     def save(self, path: str) -> None:
         """What was learned, as JSON."""
+        s = self.pipeline_.series
         with open(path, "w") as f:
-            json.dump({"features": self.feature_names_, "meta": self.meta_, "steps": [[n, json.loads(t.state()), a] for n, t, a in self.pipeline_.steps]}, f, default=str)
+            json.dump({"features": self.feature_names_, "target": self.target_, "meta": self.meta_, "series": [list(s.order), list(s.key)], "steps": [[n, json.loads(t.state()), a] for n, t, a in self.pipeline_.steps]}, f, default=str)
+
+    @classmethod
+    def load(cls, path: str) -> AutoFeatureEngineer:
+        """What save() wrote, ready to transform."""
+        with open(path) as f:
+            found = json.load(f)
+        known_, todo = {}, [TimeSeriesTransformer]
+        while todo:
+            kind = todo.pop()
+            known_[kind.__name__] = kind
+            todo += kind.__subclasses__()
+        series = Series(tuple(found["series"][0]), tuple(found["series"][1]))
+        steps = []
+        for name, state, active in found["steps"]:
+            step = object.__new__(known_[state.pop("class")])
+            step.__dict__.update(state, series=series)
+            steps.append((name, step, active))
+        out = cls()
+        out.pipeline_ = FeatureEngineeringPipeline(steps)
+        out.pipeline_.series = series
+        out.feature_names_, out.target_, out.meta_ = found["features"], found["target"], found["meta"]
+        return out

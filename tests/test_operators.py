@@ -207,6 +207,52 @@ def test_pipeline_and_search(spark):
     assert len(scores) == 3 and -np.mean(scores) < df.agg(F.stddev("target")).head()[0]
 
 
+def test_saved_engineer_transforms_alike(spark, tmp_path):
+    df = window.add_target(frame(spark, seasonal(150)), S, "value", 1)
+    auto = AutoFeatureEngineer(optimize=False, use_meta_features=False).fit(df, S, "target")
+    auto.save(str(tmp_path / "auto.json"))
+    again = AutoFeatureEngineer.load(str(tmp_path / "auto.json"))
+    assert again.get_feature_names() == auto.get_feature_names() and again.target_ == "target"
+    some = auto.get_feature_names()[::4]
+    rows = [sorted(map(str, x.transform(df).select(*[f"`{c}`" for c in some]).collect())) for x in (again, auto)]
+    assert rows[0] == rows[1] and len(rows[0]) == 149
+    found = auto.analyze_feature_selection(df, ["shap", "pearson"], top_k=5)
+    assert all(len(t) == 5 for t in found["tops"].values()) and found["pairs"][0][:2] == ("pearson", "shap")
+    assert all(0 < e < df.agg(F.stddev("target")).head()[0] for e in found["errors"].values()) and set(found["correlations"]) == set(found["tops"])
+
+
+def test_quality_and_scorers(spark):
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=(2, 200))
+    df = spark.createDataFrame([(i, float(2 * x + 0.1 * y), float(x), float(y)) for i, (x, y) in enumerate(zip(a, b, strict=True))], "i int, value double, a double, b double")
+    of = lambda *m: selection.feature_quality_score(df, ["a", "b"], "value", ["i"], *m)
+    want = np.abs([np.corrcoef(2 * a + 0.1 * b, v)[0, 1] for v in (a, b)])
+    assert abs(of() - want.mean()) < 1e-9 and abs(of("correlation", 1) - want.max()) < 1e-9 and of("mutual_info", 1) > 1 and abs(of("variance") - (a.var(ddof=1) + b.var(ddof=1)) / 2) < 1e-9
+    from seriesloom.functions.metrics import get_scorer
+    from seriesloom.series import Series
+
+    score, greater = get_scorer("directional_accuracy")
+    assert greater and score(df, Series(("i",)), "value", "a").head()[0] > 0.9
+    score, greater = get_scorer("mase")
+    assert not greater and score(df, Series(("i",)), "value", "a").count() == 1
+    with pytest.raises(TimeSeriesError):
+        get_scorer("none such")
+
+
+def test_filled_meta_features_and_too_many_intervals(spark, monkeypatch):
+    from seriesloom.operators import time_encoding
+    from seriesloom.operators.meta import MetaFeatureExtractor
+
+    df = frame(spark, seasonal(120)).withColumn("value", F.when(F.hour("ts") != 5, F.col("value")))
+    row = MetaFeatureExtractor(["simple", "statistical"], "forward").extract(df, S, "value").head().asDict()
+    plain = MetaFeatureExtractor(["simple", "statistical"]).extract(df, S, "value").head().asDict()
+    assert row["missing_ratio"] == plain["missing_ratio"] > 0 and any(row[k] != plain[k] for k in row)
+    monkeypatch.setattr(time_encoding, "MOST_INTERVALS", 1)
+    days = spark.createDataFrame([("2024-01-01", "2024-01-02")] * 2, "start string, end string")
+    with pytest.raises(TimeSeriesError):
+        time_encoding.holiday_distances(df, "ts", days)
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "a.csv").write_text('Date , Daily minimum\n1981-01-01,"20,7"\n1981-01-02,?9\n1981-01-03, 3.5\n1981-01-03,3.5\n')
     df = read_csv(spark, str(tmp_path / "a.csv"))
