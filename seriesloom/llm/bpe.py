@@ -18,7 +18,7 @@ from seriesloom.llm.pieces import Splitter
 #: A row of a piece holds position << 16 | token; a candidate pair holds rank << 40 | position << 20 | next position.
 LONGEST_PIECE = 256
 #: Rows that one recursive query may make, at most: half the square of each piece's length.
-MOST_ROWS = 600_000
+MOST_ROWS = 1_800_000
 
 CONTRACT = """
 WITH RECURSIVE state(step, word, cell) AS (
@@ -54,7 +54,7 @@ class DuckBpe:
     MOST_ROWS; nothing is written to disk.
     """
 
-    def __init__(self, path: str, pattern: str, memory: str = "200MB", bound: int = 150_000):
+    def __init__(self, path: str, pattern: str, memory: str = "350MB", bound: int = 400_000):
         import duckdb
 
         self.ranks, self.split = ranks(path), Splitter(pattern)
@@ -164,7 +164,7 @@ def _slices(sizes: Iterable[int], bound: int) -> Iterator[tuple[int, int]]:
         yield at, upto
 
 
-def slices(batches: Iterable[pa.RecordBatch], text: str, bound: int = 500_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def slices(batches: Iterable[pa.RecordBatch], text: str, bound: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Parts of the batches that hold about bound bytes of text each, and their texts, null ones as empty: no more is
     in Python at a time."""
     for batch in batches:
