@@ -15,33 +15,35 @@ from pyspark.sql import functions as F
 from seriesloom.llm.common import piece_pattern, ranks, returned, table, vocabulary
 from seriesloom.llm.pieces import Splitter
 
-#: A row of a piece holds position << 16 | token; a candidate pair holds rank << 40 | position << 20 | next position.
+#: A row of a piece holds word << 36 | position << 16 | token; a candidate pair holds rank << 40 | position << 20 | next
+#: position. A word without a candidate passes on its rows once more, as done.
 LONGEST_PIECE = 256
 #: Rows that one recursive query may make, at most: half the square of each piece's length.
 MOST_ROWS = 1_800_000
 
 CONTRACT = """
-WITH RECURSIVE state(step, word, cell) AS (
-  SELECT 0, word, cell FROM cells
+WITH RECURSIVE state(cell, done) AS (
+  SELECT (word::BIGINT << 36) | cell, false FROM cells
   UNION ALL (
     WITH neighbours AS (
-      SELECT step, word, cell, lead(cell) OVER (PARTITION BY word ORDER BY cell) AS next FROM state),
+      SELECT cell, lead(cell) OVER (ORDER BY cell) AS next FROM state WHERE NOT done),
     candidates AS (
-      SELECT step, word, cell, (m.rank::BIGINT << 40) | ((cell >> 16) << 20) | (next >> 16) AS pair
-      FROM neighbours LEFT JOIN merges m ON m.both = ((cell & 65535) << 16) + (next & 65535)),
+      SELECT cell, (m.rank::BIGINT << 40) | (((cell >> 16) & 1048575) << 20) | ((next >> 16) & 1048575) AS pair
+      FROM neighbours LEFT JOIN merges m
+        ON m.both = CASE WHEN cell >> 36 = next >> 36 THEN ((cell & 65535) << 16) + (next & 65535) END),
     best AS (
-      SELECT word, min(pair) AS pair FROM candidates WHERE pair IS NOT NULL GROUP BY word)
-    SELECT step + 1, c.word, CASE WHEN c.pair = b.pair THEN (cell >> 16 << 16) | (b.pair >> 40) ELSE cell END
-    FROM candidates c JOIN best b ON c.word = b.word
-    WHERE (cell >> 16) <> (b.pair & 1048575)))
-SELECT word, list((cell & 65535)::INTEGER ORDER BY cell) AS ids
-FROM (SELECT word, cell, step, max(step) OVER (PARTITION BY word) AS last FROM state)
-WHERE step = last GROUP BY word ORDER BY word
+      SELECT cell >> 36 AS word, min(pair) AS pair FROM candidates GROUP BY ALL)
+    SELECT CASE WHEN c.pair = b.pair THEN (cell >> 16 << 16) | (b.pair >> 40) ELSE cell END, b.pair IS NULL
+    FROM candidates c JOIN best b ON c.cell >> 36 = b.word
+    WHERE b.pair IS NULL OR ((cell >> 16) & 1048575) <> (b.pair & 1048575)))
+SELECT cell >> 36 AS word, list((cell & 65535)::INTEGER ORDER BY cell) AS ids
+FROM state WHERE done GROUP BY ALL ORDER BY word
 """
 
+#: The query runs on one thread, so that strings are joined in the order of the rows below.
 DECODE = """
-SELECT doc, string_agg(hex, '' ORDER BY place) AS hex
-FROM rows JOIN tokens USING (token) GROUP BY doc
+SELECT doc, string_agg(hex, '') AS hex
+FROM (SELECT doc, hex FROM rows JOIN tokens USING (token) ORDER BY place) GROUP BY doc
 """
 
 
