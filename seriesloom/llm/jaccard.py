@@ -25,7 +25,7 @@ MOST_MATCHES = 6
 PAIRED_LIST = 32
 #: Bytes of shingle sets in a block of a cluster.
 BLOCK_BYTES = 6 << 20
-#: Bits of the bitmap that keeps back sets which have no candidate: 512 KB.
+#: Bits of the bitmap that keeps back documents whose sets have no candidate: 512 KB.
 MEMBER_BITS = 22
 
 
@@ -215,23 +215,23 @@ def _edges(out: list[np.ndarray]) -> pa.RecordBatch:
 def _sets(df: DataFrame, members: DataFrame, k: int, seed: int) -> DataFrame:
     """sid, doc_id, shingles of the documents that stand for the members' sets.
 
-    A bitmap of 2**MEMBER_BITS bits, made on the executors, keeps most of the other sets back; the join with the members decides.
+    A bitmap of 2**MEMBER_BITS bits, made on the executors, keeps most other documents back before their texts are read in
+    Python; the join with the members decides.
     """
-    known = bitmap_of(members, "sid", MEMBER_BITS)
+    known = bitmap_of(members, "rep", MEMBER_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
+            batch = batch.filter(pa.array(known(batch.column(0).to_numpy())))
             for doc, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if doc is None:
-                    continue
                 s = shingles(t, k)
-                sid = _sid(_set_key(s), seed)
-                if len(s) and known(np.array([sid]))[0]:
-                    out.append((sid, doc, s.tobytes()))
+                if len(s):
+                    out.append((_sid(_set_key(s), seed), doc, s.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["sid", "doc", "shingles"])
 
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "sid long, doc long, shingles binary")
+    whole = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    return whole.mapInArrow(run, "sid long, doc long, shingles binary")
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None = None, width: int = 2048) -> np.ndarray:
