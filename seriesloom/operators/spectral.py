@@ -317,28 +317,31 @@ def change_points(df: DataFrame, series: Series, value: str, method: str = "pelt
             return {"points": []}
         if method == "window":
             at = np.arange(min_size, n - min_size + 1)
-            gain = np.array([cost(i - min_size, i + min_size) - cost(i - min_size, i) - cost(i, i + min_size) for i in at])
-            ends = [int(at[i]) for i in range(len(at)) if gain[i] > penalty and gain[i] == gain[max(0, i - min_size) : i + min_size + 1].max()]
+            gain = cost(at - min_size, at + min_size) - cost(at - min_size, at) - cost(at, at + min_size)
+            around = np.lib.stride_tricks.sliding_window_view(np.pad(gain, min_size, constant_values=-np.inf), 2 * min_size + 1)
+            ends = at[(gain > penalty) & (gain == around.max(1))].tolist()
         elif method == "binary":
             ends, todo = [], [(0, n)]
             while todo:
                 a, b = todo.pop()
-                cuts = range(a + min_size, b - min_size + 1)
+                cuts = np.arange(a + min_size, b - min_size + 1)
                 if len(cuts):
-                    gain, i = max((cost(a, b) - cost(a, i) - cost(i, b), i) for i in cuts)
-                    if gain > penalty:
+                    gain = cost(a, b) - cost(a, cuts) - cost(cuts, b)
+                    k = len(gain) - 1 - int(gain[::-1].argmax())
+                    if gain[k] > penalty:
+                        i = int(cuts[k])
                         ends.append(i)
                         todo += [(a, i), (i, b)]
         else:
-            best, last, open_ = np.full(n + 1, np.inf), np.zeros(n + 1, int), [0]
+            best, last, open_ = np.full(n + 1, np.inf), np.zeros(n + 1, int), np.zeros(1, int)
             best[0] = -penalty
             for i in range(min_size, n + 1):
-                ready = [a for a in open_ if i - a >= min_size]
-                values = np.array([best[a] + cost(a, i) + penalty for a in ready])
+                far = int(np.searchsorted(open_, i - min_size, side="right"))
+                ready = open_[:far]
+                values = best[ready] + cost(ready, i) + penalty
                 k = int(values.argmin())
                 best[i], last[i] = values[k], ready[k]
-                drop = {a for a, v in zip(ready, values, strict=True) if v - penalty > best[i]}
-                open_ = [a for a in open_ if a not in drop] + [i]
+                open_ = np.concatenate([ready[values - penalty <= best[i]], open_[far:], [i]])
             ends, i = [], n
             while last[i] > 0:
                 i = int(last[i])
