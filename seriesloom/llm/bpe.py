@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ from seriesloom.llm.pieces import Splitter
 #: position. A word without a candidate passes on its rows once more, as done.
 LONGEST_PIECE = 256
 #: Rows that one recursive query may make, at most: half the square of each piece's length.
-MOST_ROWS = 1_800_000
+MOST_ROWS = 600_000
 
 CONTRACT = """
 WITH RECURSIVE state(cell, done) AS (
@@ -56,7 +57,7 @@ class DuckBpe:
     MOST_ROWS; nothing is written to disk.
     """
 
-    def __init__(self, path: str, pattern: str, memory: str = "350MB", bound: int = 400_000):
+    def __init__(self, path: str, pattern: str, memory: str = "350MB", bound: int = 60_000):
         import duckdb
 
         self.ranks, self.split = ranks(path), Splitter(pattern)
@@ -65,12 +66,19 @@ class DuckBpe:
             self.bytes_of[b] = self.ranks.get(bytes([b]), -1)
         if (self.bytes_of < 0).any() or max(self.ranks.values()) > 65535:
             raise ValueError("a byte-level vocabulary of at most 65,536 ids is needed")
-        pairs = [((a << 16) + b, r) for t, r in self.ranks.items() for k in range(1, len(t)) if (a := self.ranks.get(t[:k])) is not None and (b := self.ranks.get(t[k:])) is not None]
-        self.token = {r: t for t, r in self.ranks.items()}
+        both, rank = array("q"), array("i")
+        for t, r in self.ranks.items():
+            for k in range(1, len(t)):
+                if (a := self.ranks.get(t[:k])) is not None and (b := self.ranks.get(t[k:])) is not None:
+                    both.append((a << 16) + b)
+                    rank.append(r)
+        self.token = [b""] * (max(self.ranks.values()) + 1)
+        for t, r in self.ranks.items():
+            self.token[r] = t
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": memory, "temp_directory": ""})
-        self._load("merges", pa.table({"both": np.array([p[0] for p in pairs], np.int64), "rank": np.array([p[1] for p in pairs], np.int32)}))
+        self._load("merges", pa.table({"both": np.frombuffer(both, np.int64), "rank": np.frombuffer(rank, np.int32)}))
         self._load("tokens", pa.table({"token": np.array(list(self.ranks.values()), np.int32), "hex": [t.hex() for t in self.ranks]}))
-        self.known, self.bound = {}, bound
+        self.known, self.older, self.bound = {}, {}, bound
 
     def _load(self, name: str, rows: pa.Table) -> None:
         self.db.register("arrow_rows", rows)
@@ -130,11 +138,14 @@ class DuckBpe:
         return np.array([x for x in ids if x >= 0], "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text. Pieces are encoded once for as long as they are kept."""
+        """Ids of each text. Pieces are encoded once for as long as they are kept: beyond bound pieces those not seen
+        since the last time that there were so many are let go."""
         if len(self.known) > self.bound:
-            self.known.clear()
+            self.known, self.older = {}, self.known
         pieces = [self.split(t) for t in texts]
-        new = list(set().union(*pieces).difference(self.known))
+        missing = set().union(*pieces).difference(self.known)
+        self.known.update((p, self.older[p]) for p in missing.intersection(self.older))
+        new = list(missing.difference(self.older))
         self.known.update(zip(new, self.encode_pieces(new), strict=True))
         get = self.known.__getitem__
         return [np.frombuffer(b"".join(map(get, own)), "<u4") for own in pieces]
@@ -166,7 +177,7 @@ def _slices(sizes: Iterable[int], bound: int) -> Iterator[tuple[int, int]]:
         yield at, upto
 
 
-def slices(batches: Iterable[pa.RecordBatch], text: str, bound: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def slices(batches: Iterable[pa.RecordBatch], text: str, bound: int = 400_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Parts of the batches that hold about bound bytes of text each, and their texts, null ones as empty: no more is
     in Python at a time."""
     for batch in batches:
