@@ -62,6 +62,11 @@ def inverted(demand: Column, pieces: Column) -> Column:
     return F.least(piece["t0"] + 2 * rest / F.greatest(piece["w0"] + root, F.lit(1e-300)), piece["t1"])
 
 
+def _order(key: Column, seed: int) -> Column:
+    """60 bits of the MD5 of a key and a seed."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.lower(F.hex(key))).cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def mix(df: DataFrame, share: Fraction = Fraction(3, 2), most: int = 2, weigh: Callable[[list], dict] = cycled, schedule: Callable[[int, int], list[tuple[float, float]]] = knots, seed: int = 17, ordered: bool = True, text: str = "text", source: str = "source", block_rows: int = 20_000) -> DataFrame:
     """df with size, source_size, target, taken and positions, in ascending order of the first position, untaken rows
     last, or, where they are not to be ordered, as they come.
@@ -82,7 +87,7 @@ def mix(df: DataFrame, share: Fraction = Fraction(3, 2), most: int = 2, weigh: C
     own = ["size", "source_size", "target", "taken", "positions"]
     kept = [c for c in df.columns if c not in own]
     names = ["doc_id", text, source] if "doc_id" in df.columns else [text, source]
-    base = df.select(*kept, F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(row_key(*names), F.lit(seed)).alias("__order"))
+    base = df.select(*kept, F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), _order(row_key(*names), seed).alias("__order"))
     totals = {r[source]: (r["size"], r["n"]) for r in df.select(F.col(source), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size")).groupBy(source).agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()}
     sizes = {s: v[0] for s, v in totals.items()}
     weights = weigh(list(sizes))
@@ -91,7 +96,7 @@ def mix(df: DataFrame, share: Fraction = Fraction(3, 2), most: int = 2, weigh: C
     rows = [(s, sizes[s], float(targets[s]), int(targets[s] + Fraction(1, 2)), max(1, -(-totals[s][1] // block_rows)), [list(p) for p in integrated(schedule(i, len(ranked)))]) for i, s in enumerate(ranked)]
     kind = f"`{source}` {dict(df.dtypes)[source]}, source_size long, target double, __words long, __blocks long, __pieces array<struct<t0:double,t1:double,w0:double,w1:double,before:double>>"
     plan = spark.createDataFrame(rows, kind).withColumnRenamed(source, "__source")
-    base = base.join(F.broadcast(plan) if len(rows) <= 10_000 else plan, F.col(source).eqNullSafe(F.col("__source")), "left").withColumn("__block", F.floor((F.col("__order").cast("double") / F.lit(2.0**64) + 0.5) * F.col("__blocks")))
+    base = base.join(F.broadcast(plan) if len(rows) <= 10_000 else plan, F.col(source).eqNullSafe(F.col("__source")), "left").withColumn("__block", F.floor(F.col("__order").cast("double") / F.lit(2.0**60) * F.col("__blocks")))
     block = Window.partitionBy("__source", "__block")
     inside = block.orderBy("__order", "size")
     # each block's words before it, from the blocks' sums
@@ -112,4 +117,4 @@ def mix(df: DataFrame, share: Fraction = Fraction(3, 2), most: int = 2, weigh: C
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     slim = mix(docs.select("doc_id", "source", "text"))
-    return slim.select("doc_id", "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("position"), "positions")
+    return slim.select("doc_id", "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("position"), F.get("positions", F.lit(1)).alias("position_again"))

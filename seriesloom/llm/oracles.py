@@ -43,3 +43,30 @@ sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTE
 sum(12 + length({_ROLE}) + 1 + length({_ESCAPED.format('text')}) + 10 + 1)::BIGINT AS formatted_chars
 FROM t GROUP BY conv_id
 """
+
+_KEY = " || ".join(f"coalesce(length({c}::VARCHAR), -1) || ':' || coalesce({c}::VARCHAR, chr(0) || 'null')" for c in ("doc_id", "text", "source"))
+
+
+def _at(demand: str) -> str:
+    """The time at which the demand is reached, from the two pieces of the source's schedule."""
+    late = f"{demand} >= a1 / area"
+    t0, w0, w1, before = (f"CASE WHEN {late} THEN {y} ELSE {x} END" for x, y in (("0.0::DOUBLE", "0.5::DOUBLE"), ("first / area", "1 / area"), ("1 / area", "last / area"), ("0.0::DOUBLE", "a1 / area")))
+    rest, slope = f"({demand} - ({before}))", f"((({w1}) - ({w0})) / 0.5::DOUBLE)"
+    root = f"sqrt(greatest(({w0}) * ({w0}) + 2 * {slope} * {rest}, 0))"
+    return f"least(({t0}) + 2 * {rest} / greatest(({w0}) + {root}, 1e-300), ({t0}) + 0.5::DOUBLE)"
+
+
+#: Sources in ascending order of size by weight: those at their limit come first.
+OP9 = f"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, ('0x' || substr(md5('17:' || md5({_KEY})), 1, 15))::BIGINT AS o FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS z, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS i, count(*) OVER () AS k FROM d GROUP BY source),
+w AS (SELECT *, CASE i % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w, sum(z) OVER () AS whole, CASE WHEN k < 2 THEN 0.0::DOUBLE ELSE i::DOUBLE / (k - 1) END AS tilt FROM s),
+f AS (SELECT *, (3 * whole - 4 * (sum(z) OVER u - z)) * w > 4 * z * (sum(w) OVER () - sum(w) OVER u + w) AS above FROM w WINDOW u AS (ORDER BY z::DOUBLE / w, i)),
+g AS (SELECT *, (3 * whole - 4 * coalesce(sum(z) FILTER (above) OVER (), 0))::BIGINT AS twice_left, (sum(w) FILTER (NOT above) OVER ())::BIGINT AS weights, 1.5::DOUBLE - tilt AS first, 0.5::DOUBLE + tilt AS last FROM f),
+t AS (SELECT source, z, first, last, 0.5::DOUBLE * (first + 1) / 2 AS a1, 0.5::DOUBLE * (first + 1) / 2 + 0.5::DOUBLE * (1 + last) / 2 AS area,
+  CASE WHEN above THEN (2 * z)::DOUBLE ELSE (twice_left * w)::DOUBLE / (2 * weights)::DOUBLE END AS target, CASE WHEN above THEN 2 * z ELSE (twice_left * w + weights) // (2 * weights) END::BIGINT AS words FROM g),
+r AS (SELECT doc_id, size, t.*, (sum(size) OVER (PARTITION BY d.source ORDER BY o, size) - size)::BIGINT AS before FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+q AS (SELECT *, CASE WHEN size > 0 AND before < words THEN least(size, words - before) END AS x, CASE WHEN size > 0 AND before + z < words THEN least(size, words - before - z) END AS y FROM r),
+m AS (SELECT *, (before + x / 2) / words AS mx, (before + z + y / 2) / words AS my FROM q)
+SELECT doc_id, size, z AS source_size, target, (coalesce(x, 0) + coalesce(y, 0))::BIGINT AS taken, CASE WHEN x > 0 THEN {_at('mx')} END AS position, CASE WHEN y > 0 THEN {_at('my')} END AS position_again FROM m
+"""

@@ -14,4 +14,4 @@ QUERIES = {
     "op9_source_mix": mixing.op9_source_mix,
     "op10_chat_format": chat.op10_chat_format,
 }
-ORACLES: dict[str, str] = {"op3_projection_forest": oracles.OP3, "op4_ngram_jaccard": oracles.OP4, "op10_chat_format": oracles.OP10}
+ORACLES: dict[str, str] = {"op3_projection_forest": oracles.OP3, "op4_ngram_jaccard": oracles.OP4, "op9_source_mix": oracles.OP9, "op10_chat_format": oracles.OP10}

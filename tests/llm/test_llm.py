@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 import brute
+import compare
 
-from seriesloom.llm import bpe, chat, fingerprint, jaccard, langid, mixing, repeats, secrets, tokens, treeforest
+from seriesloom.llm import bpe, chat, fingerprint, jaccard, langid, mixing, registry, repeats, secrets, tokens, treeforest
 from seriesloom.llm.common import piece_pattern, ranks, vocabulary
 from seriesloom.llm.components import components
 
@@ -398,3 +399,21 @@ def test_pipeline_stages_take_odd_rows(spark):
     assert all(r["text"] for r in corpus_pipeline.language(spark, docs, SF).collect())
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.where("doc_id > 99"), SF).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+def test_sql(spark, name):
+    """Queries that SQL can express give the rows of their SQL."""
+    df = registry.QUERIES[name](spark, SF)
+    assert not compare.differences([r.asDict() for r in df.collect()], df.columns, registry.ORACLES[name], compare.connection(SF))
+
+
+def test_pieces_kept_in_bounded_memory():
+    """Pieces that are let go and come again are encoded alike."""
+    small, large = (bpe.DuckBpe(RANKS, PATTERN, bound=b) for b in (5, 10**6))
+    texts = [f"Grüße number {i % 13} of {'xyzzy' * (i % 7)} and {i}" for i in range(60)]
+    for a in range(0, 60, 4):
+        left, right = small.encode(texts[a : a + 4]), large.encode(texts[a : a + 4])
+        assert [x.tolist() for x in left] == [x.tolist() for x in right]
+        assert small.decode(left) == [t.encode() for t in texts[a : a + 4]]
+    assert len(small.known) + len(small.older) < len(large.known)
