@@ -215,10 +215,14 @@ def hurst(df: DataFrame, series: Series, value: str, most: int = 100) -> DataFra
 
 
 def density_entropy(df: DataFrame, series: Series, value: str, bins: int = 10) -> DataFrame:
-    """-sum d ln d over the density histogram of the standardised values, in ten bins between least and greatest."""
-    x, w = known(col(value)), series.whole()
+    """-sum d ln d over the density histogram of the standardised values, in ten bins between least and greatest.
+
+    A value on a bin's edge falls by the last bit of mean and deviation; both are taken in the series' order, so that reruns agree.
+    """
+    x, w = known(col(value)), series.all_in_order()
     wide = df.select(*series.keys(), F.try_divide(x - F.avg(x).over(w), F.stddev_pop(x).over(w)).alias("__z")).dropna(subset=["__z"])
-    wide = wide.withColumn("__lo", F.min("__z").over(w)).withColumn("__hi", F.max("__z").over(w)).withColumn("__n", F.count("*").over(w)).where("__hi > __lo")
+    whole = series.whole()
+    wide = wide.withColumn("__lo", F.min("__z").over(whole)).withColumn("__hi", F.max("__z").over(whole)).withColumn("__n", F.count("*").over(whole)).where("__hi > __lo")
     cells = wide.groupBy(*series.keys(), F.least(F.floor((F.col("__z") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * bins), F.lit(bins - 1)).alias("__b")).agg(F.count("*").alias("__c"), F.max("__n").alias("__n"), F.max(F.col("__hi") - F.col("__lo")).alias("__r"))
     d = F.col("__c") / F.col("__n") / (F.col("__r") / bins)
     return cells.withColumn("__d", d).groupBy(*series.keys()).agg((-F.sum(F.col("__d") * F.log("__d"))).alias("entropy"))

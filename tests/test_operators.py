@@ -265,3 +265,14 @@ def test_sources(spark, tmp_path):
     log.log_report({"x": [1]})
     assert log.metrics().where("name = 'mae'").count() == 2
     assert [format_duration(s) for s in (0.5, 10.5, 65, 3661, 7325)] == ["0ч 0м 0с", "0ч 0м 10с", "0ч 1м 5с", "1ч 1м 1с", "2ч 2м 5с"]
+
+
+def test_density_entropy_does_not_depend_on_the_order_of_arrival(spark):
+    # multiples of 0.01 on the edges of the bins, where the last bit of the mean decides
+    rng, rows = np.random.default_rng(7), []
+    for k in range(40):
+        x = np.concatenate([[0.0, 10.0 + k], np.round(rng.integers(0, 11, 60) * (10.0 + k) / 10, 2), np.round(rng.random(20) * (10.0 + k), 2)])
+        rows += [(k, i, float(v)) for i, v in enumerate(rng.permutation(x))]
+    df, s = spark.createDataFrame(rows, "k int, i int, value double").coalesce(1), Series(("i",), ("k",))
+    there, back = ({r["k"]: round(r["entropy"], 9) for r in meta.density_entropy(df.sortWithinPartitions(o), s, "value").collect()} for o in (F.asc("i"), F.desc("i")))
+    assert len(there) == 40 and there == back
