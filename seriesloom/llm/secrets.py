@@ -60,60 +60,107 @@ def _upper_chi2(x: Column, df: Column) -> Column:
     return _upper((F.pow(x / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df)))
 
 
+ALPHABETS = (DIGITS + LOWER[:6], UPPER + DIGITS[2:8], UPPER + LOWER + DIGITS, UPPER + LOWER + DIGITS + "-_", UPPER + LOWER + DIGITS + "+/")
+#: Names of the parts of an alphabet, and how many there are at least and at most for strings of LEAST letters and more.
+PARTS, FEWEST, MOST = DIGITS + LOWER[:6], 4, 16
+
+
+def _halves(k: int) -> str:
+    """For each place of an alphabet of k letters, whether it is above the middle."""
+    return "".join("1" if d >= k / 2 else "0" for d in range(k))
+
+
+def _part(k: int, parts: int) -> str:
+    """For each place of an alphabet of k letters, its part."""
+    return "".join(PARTS[math.floor(d * parts / k)] for d in range(k))
+
+
+def _shares(k: int, parts: int) -> list[float]:
+    return [(math.ceil((i + 1) * k / parts) - math.ceil(i * k / parts)) / k for i in range(parts)]
+
+
+def _of(table: list) -> Column:
+    """A list, or list of lists, of constants."""
+
+    def text(x) -> str:
+        return f"array({', '.join(map(text, x))})" if isinstance(x, list) else f"'{x}'" if isinstance(x, str) else f"{x!r}D"
+
+    return F.expr(text(table))
+
+
 def _encoded(value: Column) -> Column:
-    """The places of the letters in the smallest alphabet that holds the string, and its size."""
+    """The smallest alphabet that holds the string: its index, the string as it is written in it, its length."""
     hexa = value.rlike("^([0-9a-f]+|[0-9A-F]+)$")
-    alphabet = F.when(hexa, F.lit(DIGITS + LOWER[:6])).when(value.rlike("^[A-Z2-7]+$"), F.lit(UPPER + DIGITS[2:8])).when(value.rlike("^[A-Za-z0-9]+$"), F.lit(UPPER + LOWER + DIGITS))
-    alphabet = alphabet.when(value.rlike("[_-]"), F.lit(UPPER + LOWER + DIGITS + "-_")).otherwise(F.lit(UPPER + LOWER + DIGITS + "+/"))
-    shown = F.when(hexa, F.lower(value)).otherwise(value)
-    letters = F.filter(F.split(shown, ""), lambda c: c != "")
-    return let(alphabet, lambda a: F.struct(F.transform(letters, lambda c: F.greatest(F.position(c, a) - 1, F.lit(0)).cast("double")).alias("d"), F.length(a).cast("double").alias("k")))
+    index = F.when(hexa, F.lit(0)).when(value.rlike("^[A-Z2-7]+$"), F.lit(1)).when(value.rlike("^[A-Za-z0-9]+$"), F.lit(2)).when(value.rlike("[_-]"), F.lit(3)).otherwise(F.lit(4))
+    return let(index, lambda i: F.struct(i.alias("i"), F.when(i == 0, F.lower(value)).otherwise(value).alias("v"), F.length(value).alias("n")))
+
+
+def _count(text: Column, what: Column) -> Column:
+    """How often a string stands in the text."""
+    return (F.length(text) - F.length(F.replace(text, what, F.lit("")))) / F.length(what)
 
 
 def randomness(value: Column) -> Column:
-    """p: how likely a random string of that length and encoding looks as uneven as this one, of at least two letters.
+    """p: how likely a random string of that length and encoding looks as uneven as this one, of at least LEAST letters.
 
     The encoding is the smallest that holds the string: hex digits, base 32, letters and digits, base 64. Three tests: chi-squared of an even use of the alphabet, cut into as many equal parts as the length
     supports; Wald-Wolfowitz runs above and below the alphabet's middle; correlation of neighbours. The least p of the
-    three is made one of all, as if they were independent.
+    three is made one of all, as if they were independent. A letter outside the alphabet (of + and / beside - and _) counts as its first.
     """
+    sizes = [len(a) for a in ALPHABETS]
 
-    def chi2(e: Column, n: Column) -> Column:
-        def of(parts: Column) -> Column:
-            cells = F.transform(e["d"], lambda d: F.floor(d * parts / e["k"]).cast("int"))
-
-            def one(i: Column, c: Column) -> Column:
-                share = (F.ceil((i + 1) * e["k"] / parts) - F.ceil(i * e["k"] / parts)) / e["k"]
-                return F.pow(F.size(F.filter(c, lambda x: x == i)) - share * n, F.lit(2)) / (share * n)
-
-            total = let(cells, lambda c: F.aggregate(F.sequence(F.lit(0), parts - 1), F.lit(0.0), lambda s, i: s + one(i, c)))
-            return _upper_chi2(total, parts.cast("double") - 1)
+    def rewritten(e: Column, index: int, names: str) -> Column:
+        more = "+/" if index == 3 else ""
+        return F.translate(e["v"], ALPHABETS[index] + more, names + names[0] * len(more))
 
-        return let(F.least(F.lit(16.0), F.greatest(F.lit(2.0), F.floor(n / 5)), e["k"]).cast("int"), of)
+    def chi2(e: Column) -> Column:
+        def of(parts: Column) -> Column:
+            # one expression for each alphabet and number of parts, so that what it maps is made once; the most frequent first
+            kinds = sorted(((i, p) for i in range(len(sizes)) for p in range(FEWEST, MOST + 1)), key=lambda x: (x[0] != 2, -x[1]))
+            at, cells = 100 * e["i"] + parts, F
+            for i, p in kinds:
+                cells = cells.when(at == 100 * i + p, rewritten(e, i, _part(sizes[i], p)))
+            due = _of([[1 / x for i, p in kinds if (i, p) == (j, q) for x in _shares(sizes[i], p)] for j in range(len(sizes)) for q in range(FEWEST, MOST + 1)])
+            names, n = _of(list(PARTS)), e["n"].cast("double")
+            squares = lambda c: F.zip_with(F.slice(names, F.lit(1), parts), F.get(due, e["i"] * (MOST - FEWEST + 1) + parts - FEWEST), lambda k, w: let(e["n"] - F.length(F.replace(c, k, F.lit(""))), lambda m: m * m * w))
+            total = let(cells, lambda c: F.aggregate(squares(c), F.lit(0.0), lambda s, x: s + x)) / n - n
+            return _upper_chi2(F.greatest(total, F.lit(0.0)), parts.cast("double") - 1)
+
+        return let(F.least(F.lit(MOST), F.greatest(F.lit(FEWEST), F.floor(e["n"] / 5).cast("int"))), of)
+
+    def runs(e: Column) -> Column:
+        n = e["n"].cast("double")
 
-    def runs(e: Column, n: Column) -> Column:
         def of(above: Column) -> Column:
-            changes = F.aggregate(F.sequence(F.lit(1), F.size(above) - 1), F.lit(1.0), lambda s, i: s + F.when(F.get(above, i) != F.get(above, i - 1), 1.0).otherwise(0.0))
-            n1 = F.size(F.filter(above, lambda x: x)).cast("double")
-
-            def z(ones: Column) -> Column:
+            def z(ones: Column, changes: Column) -> Column:
                 expected = 2 * ones * (n - ones) / n + 1
                 spread = F.sqrt(F.greatest((expected - 1) * (expected - 2) / (n - 1), F.lit(1e-9)))
                 return F.when((ones == 0) | (ones == n), F.lit(40.0)).otherwise(F.abs(changes - expected) / spread)
 
-            return 2 * _upper(let(n1, z))
+            return 2 * _upper(let(_count(above, F.lit("1")), lambda ones: z(ones, 1 + _count(above, F.lit("01")) + _count(above, F.lit("10")))))
+
+        above = F.when(e["i"] == 2, rewritten(e, 2, _halves(sizes[2])))
+        for i in (0, 1, 3, 4):
+            above = above.when(e["i"] == i, rewritten(e, i, _halves(sizes[i])))
+        return let(above, of)
 
-        return let(F.transform(e["d"], lambda d: d >= e["k"] / 2), of)
+    def serial(e: Column) -> Column:
+        n = e["n"].cast("double")
+        places = _of([[float(max(a.find(chr(c)), 0)) for c in range(128)] for a in ALPHABETS])
+        sum_of = lambda d: F.aggregate(d, F.lit(0.0), lambda a, x: a + x)
 
-    def serial(e: Column, n: Column) -> Column:
-        def of(m: Column) -> Column:
-            var = F.aggregate(e["d"], F.lit(0.0), lambda a, x: a + (x - m) * (x - m))
-            lag = F.aggregate(F.sequence(F.lit(1), F.size(e["d"]) - 1), F.lit(0.0), lambda a, i: a + (F.get(e["d"], i) - m) * (F.get(e["d"], i - 1) - m))
+        def of(c: Column) -> Column:
+            var = F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x)
+            lag = sum_of(F.zip_with(F.slice(c, 1, e["n"] - 1), F.slice(c, 2, e["n"] - 1), lambda x, y: x * y))
             return 2 * _upper(F.abs(F.coalesce(F.try_divide(lag, var), F.lit(1.0)) + 1 / n) * F.sqrt(n))
 
-        return let(F.aggregate(e["d"], F.lit(0.0), lambda a, x: a + x) / n, of)
+        letters = F.slice(F.split(e["v"], ""), F.lit(1), e["n"])
+        d = let(F.get(places, e["i"]), lambda t: F.transform(letters, lambda c: F.get(t, F.ascii(c))))
+        return let(d, lambda d: let(sum_of(d) / n, lambda m: let(F.transform(d, lambda x: x - m), of)))
 
-    least = let(_encoded(value), lambda e: let(F.size(e["d"]).cast("double"), lambda n: F.least(chi2(e, n), runs(e, n), serial(e, n))))
+    # what is surely least is not looked at further
+    none = math.exp(-STEP * STEPS) / 4
+    least = let(_encoded(value), lambda e: let(chi2(e), lambda p: F.when(p < none, p).otherwise(F.least(p, runs(e), serial(e)))))
     return F.greatest(let(F.least(F.greatest(least, F.lit(0.0)), F.lit(1.0)), lambda p: p * (3 - 3 * p + p * p)), F.lit(math.exp(-STEP * STEPS)))
 
 
@@ -142,17 +189,19 @@ def _with_candidates(df: DataFrame, text: str) -> DataFrame:
 
 
 def natural(text: Column) -> Column:
-    """Strings that are no keys, their class and step: letters of the text without candidates and what stands between words,
-    of the least length of the first class and of another, from places that a hash of the text decides, as the other class;
-    none of shorter texts."""
+    """Class and step of strings that are no keys: the letters of the text, without candidates and what stands between words,
+    cut end to end into strings of the least lengths of the classes in turn; of what is left at the end the longest that
+    fit. Each letter is in one string, but for fewer at the end than the shortest has."""
     letters = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), CANDIDATE, " "), "[^A-Za-z0-9+/_-]+", "")
+    sizes = [LEAST << c for c in range(CLASSES)]
+    cycle = sum(sizes)
 
     def cut(t: Column) -> Column:
-        other = (LEAST * F.pow(F.lit(2), 1 + F.pmod(F.xxhash64(t, F.lit(1)), F.lit(CLASSES - 1)))).cast("int")
-        lengths = F.filter(F.array(F.lit(LEAST), other), lambda k: k <= F.length(t))
-        return F.transform(lengths, lambda k: let(F.substring(t, (F.pmod(F.xxhash64(t), F.length(t) - k + 1) + 1).cast("int"), k), lambda v: F.struct(_length_class(v).alias("class"), _step(randomness(v)).alias("step"))))
+        whole = F.array(*[F.substring(t, 1 + sum(sizes[:c]), k) for c, k in enumerate(sizes)])
+        return F.when(F.length(t) == cycle, whole).otherwise(F.regexp_extract_all(t, F.lit("|".join(f".{{{k}}}" for k in sizes[::-1])), F.lit(0)))
 
-    return let(letters, cut)
+    strings = F.flatten(F.transform(F.regexp_extract_all(letters, F.lit(f".{{1,{cycle}}}"), F.lit(0)), cut))
+    return F.transform(strings, lambda v: F.struct(_length_class(v).alias("class"), _step(randomness(v)).alias("step")))
 
 
 def thresholds(counts: DataFrame) -> DataFrame:

@@ -272,6 +272,14 @@ def test_secret_patterns(spark, none):
     assert secrets.find_secrets(none).count() == 0
 
 
+def test_secrets_compare_with_all_letters_of_a_text(spark):
+    words = " ".join(["natural"] * 40 + ["x" * 30] + ["words"] * 144)
+    df = spark.createDataFrame([(0, words), (1, None), (2, "short"), (3, "a " * 24)], "doc_id int, text string")
+    got = {r["doc_id"]: sorted(c["class"] for c in r["n"]) for r in df.select("doc_id", secrets.natural(F.col("text")).alias("n")).collect()}
+    # 1000 letters without the candidate: two cycles of 24, 48, 96 and 192, then 192, 48 and 24
+    assert got == {0: [0, 0, 0, 1, 1, 1, 2, 2, 3, 3, 3], 1: [], 2: [], 3: [0]}
+
+
 def test_language_models(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     models = langid.fit(docs)
