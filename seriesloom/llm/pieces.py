@@ -58,7 +58,15 @@ class Splitter:
         self.any = regex.compile(pattern).findall
         plain = settled_pattern(pattern)
         self.fast = re.compile(plain).findall if plain else self.any
-        self.unsettled = re.compile(f"[^\\u0000-\\u{SETTLED:04x}]").search
+        self.beyond = re.compile(f"[^\\u0000-\\u{SETTLED:04x}]").search
+
+    def unsettled(self, text: str) -> bool:
+        """Whether a letter of the text is not settled; texts of one-byte letters need not be searched."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.beyond(text) is not None
+        return False
 
     def __call__(self, text: str) -> list[str]:
         return self.any(text) if self.unsettled(text) else self.fast(text)
