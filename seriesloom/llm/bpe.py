@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import piece_pattern, ranks, returned, table, vocabulary
+from seriesloom.llm.common import in_small_batches, piece_pattern, ranks, returned, table, vocabulary
 from seriesloom.llm.pieces import Splitter
 
 #: A row of a piece holds word << 36 | position << 16 | token; a candidate pair holds rank << 40 | position << 20 | next
@@ -57,7 +57,7 @@ class DuckBpe:
     MOST_ROWS; nothing is written to disk.
     """
 
-    def __init__(self, path: str, pattern: str, memory: str = "350MB", bound: int = 60_000):
+    def __init__(self, path: str, pattern: str, memory: str = "350MB", bound: int = 120_000):
         import duckdb
 
         self.ranks, self.split = ranks(path), Splitter(pattern)
@@ -216,6 +216,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
         bpe = None
         returned()
 
+    in_small_batches(df.sparkSession)
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c in names or c == text]).mapInArrow(run, schema)
 
 

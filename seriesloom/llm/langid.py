@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seriesloom.llm.bpe import by_size
-from seriesloom.llm.common import returned, table
+from seriesloom.llm.common import in_small_batches, returned, table
 from seriesloom.llm.shingles import U, mixed
 
 ORDER = 4
@@ -286,6 +286,7 @@ def identify(df: DataFrame, models: Models, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*own, pa.array(lang, pa.string()), pa.array(score), pa.array(h), pa.array(beyond)], names=names + new.names)
         returned()
 
+    in_small_batches(df.sparkSession)
     return df.select(*[F.col(f"`{n}`") for n in names]).mapInArrow(run, schema)
 
 

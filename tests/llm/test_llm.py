@@ -17,6 +17,7 @@ import compare
 from seriesloom.llm import bpe, chat, fingerprint, jaccard, langid, mixing, registry, repeats, secrets, tokens, treeforest
 from seriesloom.llm.common import piece_pattern, ranks, vocabulary
 from seriesloom.llm.components import components
+from seriesloom.llm.pieces import Splitter
 
 SF = "/root/testdata/sf0.001"
 RANKS, PATTERN = vocabulary("byte_bpe_50k.tiktoken"), piece_pattern()
@@ -425,3 +426,22 @@ def test_pieces_kept_in_bounded_memory():
         assert [x.tolist() for x in left] == [x.tolist() for x in right]
         assert small.decode(left) == [t.encode() for t in texts[a : a + 4]]
     assert len(small.known) + len(small.older) < len(large.known)
+
+
+def test_texts_of_one_byte_letters_are_settled_without_a_search():
+    split = Splitter(PATTERN)
+    split.beyond = None
+    assert not split.unsettled("plain") and not split.unsettled("é\xff")
+    split = Splitter(PATTERN)
+    assert not split.unsettled("ĀɏÉ") and split.unsettled("aɐ") and split.unsettled("日")
+
+
+def test_operators_with_python_take_small_batches(spark, docs):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.unset(name)
+    bpe.encode(docs, RANKS, PATTERN)
+    assert int(spark.conf.get(name)) == 2000
+    spark.conf.set(name, 500)
+    bpe.encode(docs, RANKS, PATTERN)
+    assert int(spark.conf.get(name)) == 500
+    spark.conf.unset(name)
