@@ -228,6 +228,29 @@ def test_repeats_in_a_long_text(spark):
     assert [tuple(x) for x in got[0]["removed"]] == [(1000, 1500), (7000, 7400), (repeats.PIECE - 300, repeats.PIECE + 300), (len(long), len(long) + 500)]
 
 
+def test_places_of_a_common_passage_do_not_meet_in_one_task(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "COMMON", 20, raising=False)
+    rng = random.Random(21)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    passage, rare = text(1500), text(500)
+    rows = [(i, text(50) + passage + (rare if i % 60 == 0 else "") + text(50)) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(4, "doc_id")
+    # as with large tables: no table is small, no tasks are put together
+    large = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in large}
+    try:
+        for k, v in large.items():
+            spark.conf.set(k, v)
+        tasks = repeats.occurrences(repeats.keyed(docs)).groupBy("start", "end", F.spark_partition_id()).count()
+        places = tasks.groupBy("start", "end").agg(F.max("count"), F.sum("count")).where("sum(count) >= 100").collect()
+        got = repeats.remove_repeats(docs).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert places and all(most <= total / 2 for _, _, most, total in places)
+    assert sorted((r["doc_id"], r["n_bytes"], sum(x["end"] - x["start"] for x in r["removed"]), len(r["removed"]), brute.sha(bytes(r["kept"]))) for r in got) == sorted(brute.repeats(rows, 400))
+
+
 def test_common_prefix_intervals():
     s = sorted(["banana"[i:] for i in range(6)])
     shared = [next((k for k, (a, b) in enumerate(zip(x, y, strict=False)) if a != b), min(len(x), len(y))) for x, y in zip(s, s[1:], strict=False)]
